@@ -54,3 +54,19 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str,
                 yield pa.RecordBatch.from_pydict({f.name: pa.array(got[f.name], f.type) for f in arrow}, schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, spread: list[str], share: int = 1000) -> DataFrame:
+    """rows left-joined with groups (a row for each key, which has `count` of the rows) on key, with no key's rows meeting in one task.
+
+    At most `share` keys can have total/share of all rows each; those are broadcast. Rows of other keys meet their group by a shuffle; rows of broadcast or null keys
+    are spread over its tasks by the columns `spread`.
+    """
+    values = [c for c in groups.columns if c not in (key, count)]
+    frequent = groups.where(F.col(count) * share >= total).select(F.col(key).alias("_frequent"), *(F.col(c).alias(f"_f_{c}") for c in values))
+    rare = groups.where(F.col(count) * share < total).select(F.col(key).cast("string").alias("_rare"), *(F.col(c).alias(f"_r_{c}") for c in values))
+    once = rows.join(F.broadcast(frequent), rows[key] == F.col("_frequent"), "left")
+    salt = F.concat(F.lit("\u0000"), F.xxhash64(*spread).cast("string"))
+    once = once.withColumn("_by", F.when(F.col("_frequent").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(salt))
+    both = once.join(rare, F.col("_by") == F.col("_rare"), "left")
+    return both.select(*rows.columns, *(F.coalesce(f"_f_{c}", f"_r_{c}").alias(c) for c in values))
