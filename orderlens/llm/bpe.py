@@ -134,18 +134,19 @@ def decode_ids(table: list[bytes], ids: bytes) -> str:
     return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and ids (binary: little-endian unsigned 32-bit integers) of every whole text.
+def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """key, the columns to keep, and ids (binary: little-endian unsigned 32-bit integers) of every whole text.
 
     A null or empty text has no ids. Special strings in a text become their ids. Repeated rows stay, other columns are dropped, an empty table gives an empty one.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    keep = keep or []
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep))
 
     def make():
         encoder = Encoder(path)
-        return lambda b: {"key": b["key"], "ids": [encoder.encode(t) for t in b["text"]]}
+        return lambda b: {c: b[c] for c in (key, *keep)} | {"ids": [encoder.encode(t) for t in b["_text"]]}
 
-    return map_rows(docs.select(docs[key].alias("key"), text_of(text).alias("text")), f"key {kind}, ids binary", make).withColumnRenamed("key", key)
+    return map_rows(docs.select(key, *keep, text_of(text).alias("_text")), f"{schema}, ids binary", make)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:

@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, merkle, secrets, sharding, toxicity, warc
+from . import bpe, chat, contamination, lm, merkle, neardup, secrets, sharding, toxicity, warc
 from .common import checkpoint_dir, fold, table, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,6 +44,11 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of its near duplicates."""
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
     """Every document in one of 40 shards of about equal bytes, by the second version of the slot map."""
     rows = sharding.records(table(spark, sf_dir, "documents"))
@@ -69,6 +74,11 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model that learned from four fifths of the ids."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
@@ -118,9 +128,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op2_neardup": op2_neardup,
     "op3_sharding": op3_sharding,
     "op4_fingerprints": op4_fingerprints,
     "op5_bpe": op5_bpe,
+    "op6_lm": op6_lm,
     "op7_secrets": op7_secrets,
     "op8_warc": op8_warc,
     "op9_contamination": op9_contamination,
