@@ -1,10 +1,6 @@
 """Every query by name, with its SQL where there is one."""
 
-from __future__ import annotations
+from . import quality, stability  # noqa: F401
+from .contract import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
