@@ -125,7 +125,7 @@ def normalized_answer(text: Column) -> Column:
 
 
 def last_number(text: Column) -> Column:
-    return F.element_at(F.regexp_extract_all(text, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), -1)
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), F.lit(-1))
 
 
 def redacted(config: Column, keys: str = "key|token|secret|password") -> Column:
