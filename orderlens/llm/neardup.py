@@ -4,8 +4,9 @@ A document is the multiset of its shingles of five words. Each shingle and dyadi
 the signature and a weight; those with a weight up to the shingle's count are the document's, and a signature keeps the earliest point of each place. The chance that two
 documents keep the same point is their weighted Jaccard similarity. A process ends as soon as its next point is later than all that the signature holds.
 
-Signatures are cut into bands. In each bucket of equal bands every document is compared with the bucket's first; links that multiset overlap confirms make classes; what
-is left are documents of different classes in one bucket, which are compared until none is unchecked.
+Signatures are cut into bands. Every document is compared with the first of the buckets of equal bands that it shares most of; then, as long as that joins classes, with
+the one of another class that its signature agrees with most in each bucket; and at last with all others of its buckets that may reach the similarity and are still of
+another class. Links count only as multiset overlap confirms them.
 """
 
 from __future__ import annotations
@@ -18,22 +19,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import attach, cut, map_rows, text_of
 
 SHINGLE, LEAST = 5, 0.8
-#: Places of a signature, and rows of a band: a pair at similarity 0.8 shares none of 32 bands once in 20 million.
-PLACES, ROWS = 128, 4
+#: Places of a signature, and rows of a band: a pair at similarity 0.8 shares none of 42 bands three times in a million.
+PLACES, ROWS = 256, 6
 BANDS = PLACES // ROWS
-#: Five standard deviations below 0.8: pairs whose signatures agree in fewer places are not compared.
-AGREE = 0.62
+#: More than three and a half standard deviations below 0.8: pairs whose signatures agree in fewer places are not compared.
+AGREE = 0.71
 #: Ids that are broadcast at most, to read only their texts; more are joined by a shuffle.
 FEW = 400_000
 #: Documents that are compared with the same text in one task.
 TOGETHER = 512
-#: Documents of one bucket that may be paired across classes as they are; of larger buckets only those that share a further band.
-PAIRED = 24
+#: Documents of a bucket that one task holds; larger buckets are cut into blocks, and each two blocks meet in a task.
+BLOCK = 1024
 #: Of a byte: itself (A-Z in lower case) in a word, else a space.
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 REMEMBERED = 400_000
@@ -116,46 +116,109 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], places: int = PLACES)
     return sig.reshape(len(bags), places)
 
 
+def bands_of(small: np.ndarray) -> np.ndarray:
+    """A row of band hashes for each signature of 16 bits a place."""
+    band = np.arange(BANDS, dtype=np.uint64)[None, :] * ODD
+    for k in range(ROWS):
+        band = mix(band + small[:, k : BANDS * ROWS : ROWS].astype(np.uint64) * odd(k + 1))
+    return band.view(np.int64)
+
+
 def sketch(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """doc, digest of the text, sig (16 bits a place) and bands of each document; both null without words."""
+    """doc, digest of the text, n (shingles), sig (16 bits a place) and bands of each document; the last two null without words."""
 
     def make():
         known = WordHashes()
 
         def work(b: dict[str, list]) -> dict[str, list]:
             bags = [shingles(t, known) for t in b["text"]]
-            bits = mix(signatures(bags).view(np.uint64))
-            band = np.arange(BANDS, dtype=np.uint64)[None, :] * ODD
-            for k in range(ROWS):
-                band = mix(band + bits[:, k::ROWS][:, :BANDS])
-            small, signed = (bits & np.uint64(0xFFFF)).astype("<u2"), band.view(np.int64)
+            small = (mix(signatures(bags).view(np.uint64)) & np.uint64(0xFFFF)).astype("<u2")
+            bands = bands_of(small)
             full = [len(e) > 0 for e, _ in bags]
             return {
                 "doc": b["doc"],
                 "digest": [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in b["text"]],
+                "n": [int(c.sum()) for _, c in bags],
                 "sig": [small[i].tobytes() if f else None for i, f in enumerate(full)],
-                "bands": [signed[i].tolist() if f else None for i, f in enumerate(full)],
+                "bands": [bands[i].tolist() if f else None for i, f in enumerate(full)],
             }
 
         return work
 
-    return map_rows(docs.select(F.col(key).cast("bigint").alias("doc"), text_of(text).alias("text")), "doc bigint, digest binary, sig binary, bands array<bigint>", make)
+    return map_rows(docs.select(F.col(key).cast("bigint").alias("doc"), text_of(text).alias("text")), "doc bigint, digest binary, n bigint, sig binary, bands array<bigint>", make)
+
 
+def likely(sig: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray | int, least: float = LEAST) -> np.ndarray:
+    """Whether signatures agree in enough places, and numbers of shingles are near enough, for the similarity."""
+    return ((sig == other).mean(axis=-1) >= AGREE) & (np.minimum(n, m) >= least * np.maximum(n, m))
 
-def agreeing(pairs: DataFrame, sketches: DataFrame, least: float = AGREE) -> DataFrame:
-    """The rows (a, b) of pairs whose signatures agree in enough places."""
-    sig = sketches.select(F.col("doc").alias("_d"), "sig")
-    both = pairs.join(sig.withColumnRenamed("sig", "_sa"), F.col("a") == F.col("_d")).drop("_d").join(sig.withColumnRenamed("sig", "_sb"), F.col("b") == F.col("_d")).drop("_d")
+
+def agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The rows (a, b) of pairs that may reach the similarity."""
+    part = lambda x: sketches.select(F.col("doc").alias(x), F.col("sig").alias(f"_s{x}"), F.col("n").alias(f"_n{x}"))
+    both = pairs.join(part("a"), "a").join(part("b"), "b")
 
     def make():
         def work(x: dict[str, list]) -> dict[str, list]:
             left, right = (np.frombuffer(b"".join(x[c]), "<u2").reshape(-1, PLACES) for c in ("_sa", "_sb"))
-            keep = np.flatnonzero((left == right).mean(axis=1) >= least)
+            keep = np.flatnonzero(likely(left, np.array(x["_na"]), right, np.array(x["_nb"])))
             return {c: [x[c][i] for i in keep] for c in ("a", "b")}
 
         return work
 
-    return map_rows(both.select("a", "b", "_sa", "_sb"), "a bigint, b bigint", make, 4096)
+    return map_rows(both.select("a", "b", "_sa", "_sb", "_na", "_nb"), "a bigint, b bigint", make, 4096)
+
+
+def across(buckets: DataFrame, sketches: DataFrame, labels: DataFrame, every: bool) -> DataFrame:
+    """Likely pairs (a, b) of documents of one bucket and different classes: all of them, each in the first bucket that it shares; or for each document the one that agrees most.
+
+    Signatures of a bucket that still has several classes meet in a task (in blocks, if there are many), where documents outside its most frequent class are compared.
+    """
+    named = buckets.join(labels.withColumnRenamed("id", "doc"), "doc").select("band", "doc", "class")
+    mixed = named.groupBy("band").agg(F.count("*").alias("k"), F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo <> _hi")
+    mixed = mixed.select("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    rows = named.join(mixed, "band").join(sketches.select("doc", "sig", "n"), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.select("band", "doc", "class", "sig", "n", "block", other.alias("_o")).withColumn("part", F.least("block", "_o") * F.lit(1 << 16) + F.greatest("block", "_o"))
+    rows = rows.repartition("band", "part").sortWithinPartitions("band", "part")
+
+    def pairs_of(band: int, part: int, group: list[tuple]) -> Iterator[tuple[int, int]]:
+        doc, cls, n, block = (np.array([g[i] for g in group]) for i in (0, 1, 3, 4))
+        sig = np.frombuffer(b"".join(g[2] for g in group), "<u2").reshape(-1, PLACES)
+        values, counts = np.unique(cls, return_counts=True)
+        if len(values) == 1:
+            return
+        at = bands_of(sig[:1])[0].tolist().index(band)
+        apart = (part >> 16) != (part & 0xFFFF)
+        for i in np.flatnonzero(cls != values[counts.argmax()]):
+            y = np.flatnonzero((cls != cls[i]) & ((block != block[i]) if apart else True))
+            y = y[likely(sig[i], n[i], sig[y], n[y])]
+            if not len(y):
+                continue
+            if every:
+                shared = (sig[i] == sig[y])[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2)
+                y = y[shared.argmax(axis=1) == at]
+            else:
+                y = y[[(sig[i] == sig[y]).sum(axis=1).argmax()]]
+            yield from ((max(int(doc[i]), int(doc[j])), min(int(doc[i]), int(doc[j]))) for j in y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def flush(at: tuple | None, group: list[tuple]) -> pa.RecordBatch:
+            found = list(pairs_of(*at, group)) if at and len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], schema=schema)
+
+        at, group = None, []
+        for batch in batches:
+            for band, part, *row in zip(*(batch.column(c).to_pylist() for c in ("band", "part", "doc", "class", "sig", "n", "block")), strict=True):
+                if (band, part) != at:
+                    yield flush(at, group)
+                    at, group = (band, part), []
+                group.append(tuple(row))
+        yield flush(at, group)
+
+    return rows.select("band", "part", "doc", "class", "sig", "n", "block").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, text: str, key: str, least: float = LEAST) -> DataFrame:
@@ -208,18 +271,6 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-def across(buckets: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of documents of different classes in one bucket. In a bucket of more than PAIRED documents a pair must share a further band, as one at 0.8 does but once in ten million."""
-    named = buckets.join(labels.withColumnRenamed("id", "doc"), "doc").select("band", "doc", "class")
-    mixed = named.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo <> _hi").select("band", "n")
-    named = cut(named.join(mixed, "band"))
-    few = named.where(F.col("n") <= PAIRED).select(F.array("band").alias("by"), "doc", "class")
-    many = named.where(F.col("n") > PAIRED).join(sketches.select("doc", "bands"), "doc").select("band", "doc", "class", F.explode("bands").alias("other")).where("band < other")
-    keyed = few.unionByName(many.select(F.array("band", "other").alias("by"), "doc", "class"))
-    left, right = (keyed.select("by", F.col("doc").alias(d), F.col("class").alias(c)) for d, c in (("a", "x"), ("b", "y")))
-    return left.join(right, "by").where("x <> y and a > b").select("a", "b").distinct()
-
-
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and class_id of each row: the least id of all that it is linked with, directly or through others, by equal texts or a similarity of 0.8 or more.
 
@@ -235,19 +286,22 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     buckets = distinct.select("doc", F.explode("bands").alias("band"))
     heads = cut(buckets.groupBy("band").agg(F.min("doc").alias("head"), F.count("*").alias("n")).where("n > 1"))
     shared = cut(attach(buckets, heads, "band", "n", max(1, distinct.count() * BANDS), ["doc"], BANDS * 1000).where("head is not null"))
-    edges = cut(shared.where("doc <> head").groupBy(F.col("doc").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("bands")))
-    best = Window.partitionBy("a").orderBy(F.desc("bands"), "b")  # of at most as many heads as there are bands
-    nearest = edges.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("a", "b")
+    edges = shared.where("doc <> head").groupBy(F.col("doc").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("bands"))
+    nearest = edges.groupBy("a").agg(F.min_by("b", F.struct(-F.col("bands"), F.col("b"))).alias("b"))
     labels = distinct.select(F.col("doc").alias("id"), F.col("doc").alias("class"))
-    labels = components(labels, cut(confirmed(agreeing(nearest, distinct), docs, text, key)))
-    checked = nearest
-    for pairs in (lambda: edges.select("a", "b"), lambda: across(shared.select("band", "doc"), distinct, labels)):
-        one, two = labels.select(F.col("id").alias("a"), F.col("class").alias("_x")), labels.select(F.col("id").alias("b"), F.col("class").alias("_y"))
-        apart = pairs().join(checked, ["a", "b"], "left_anti").join(one, "a").join(two, "b").where("_x <> _y").select("a", "b")
-        likely = cut(agreeing(apart, distinct))
-        if not likely.isEmpty():
-            labels = components(labels, cut(confirmed(likely, docs, text, key)))
-        checked = edges.select("a", "b")
+    checked = cut(agreeing(nearest, distinct))
+    labels = components(labels, cut(confirmed(checked, docs, text, key)))
+    every = False
+    while True:
+        pairs = cut(across(shared.select("band", "doc"), distinct, labels, every).join(checked, ["a", "b"], "left_anti"))
+        links = None if pairs.isEmpty() else cut(confirmed(pairs, docs, text, key))
+        if every:
+            labels = labels if links is None else components(labels, links)
+            break
+        if links is None or links.isEmpty():
+            every = True
+            continue
+        labels, checked = components(labels, links), checked.unionByName(pairs)
     named = texts.join(labels.select(F.col("id").alias("first"), "class"), "first", "left").select("digest", "n", F.coalesce("class", "first").alias("class_id"))
     found = attach(sketches.select("doc", F.hex("digest").alias("digest")), cut(named.withColumn("digest", F.hex("digest"))), "digest", "n", total, ["doc"])
     return found.select(F.col("doc").cast(kind).alias(key), F.col("class_id").cast(kind).alias("class_id"))
