@@ -1,4 +1,4 @@
-"""How queries and their SQL are kept: the same columns, integers as BIGINT, doubles rounded to nine places."""
+"""How queries and their SQL are kept: the same columns, integers as BIGINT, doubles rounded: scores have up to eleven decimals, so that no value lies on an edge."""
 
 from __future__ import annotations
 
@@ -52,15 +52,15 @@ def closure(sql: str) -> str:
     return f"WITH {found} " if found else ""
 
 
-def register(name: str, query: Query, sql: str | None, i: str = "", d: str = "", s: str = "") -> None:
-    """i, d, s: the integer, double and other columns of the result."""
+def register(name: str, query: Query, sql: str | None, i: str = "", d: str = "", s: str = "", digits: int = 11) -> None:
+    """i, d, s: the integer, double and other columns of the result; digits: the decimals of doubles."""
     ints, doubles, others = i.split(), d.split(), s.split()
 
     def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = query(spark, sf_dir)
-        return df.select(*(F.col(c).cast("bigint").alias(c) for c in ints), *((F.round(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), 9) + 0.0).alias(c) for c in doubles), *others)
+        return df.select(*(F.col(c).cast("bigint").alias(c) for c in ints), *((F.round(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), digits) + 0.0).alias(c) for c in doubles), *others)
 
     QUERIES[name] = plain
     if sql is not None:
-        columns = [f"CAST({c} AS BIGINT) AS {c}" for c in ints] + [f"round(CAST({c} AS DOUBLE), 9) + 0.0 AS {c}" for c in doubles] + others
+        columns = [f"CAST({c} AS BIGINT) AS {c}" for c in ints] + [f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in doubles] + others
         ORACLE_SQL[name] = f"{closure(sql)}SELECT {', '.join(columns)} FROM ({sql}) AS result"

@@ -118,5 +118,5 @@ register("checkpoint_top_n", lambda s, d: c.best_checkpoints(trajectories(s, d).
 register("curve_screen", lambda s, d: c.screen(trajectories(s, d).withColumnRenamed("lam", "run"), 1.3, 1.6), "SELECT run, median, CASE WHEN n < 3 THEN 'ABSTAIN' WHEN median < 1.3 THEN 'LOWER' WHEN median > 1.6 THEN 'RAISE' ELSE 'PASS' END AS verdict FROM (SELECT lam AS run, quantile_cont(metric, 0.5) AS median, count(*) AS n FROM trajectories GROUP BY lam)", "run", "median", "verdict")
 register("slot_propensity", lambda s, d: c.slot_weights(r.score_log(s, d).join(r.qrels(s, d).where("rel > 0"), ["qid", "docid"]), 10, 1.05), "SELECT slot, n, propensity, w / avg(w) OVER () AS weight FROM (SELECT *, least(1.05, 1 / (10 * propensity)) AS w FROM (SELECT slot, n, (n + 1) / sum(n + 1) OVER () AS propensity FROM (SELECT position % 10 AS slot, CAST(count(*) AS DOUBLE) AS n FROM judged WHERE rel > 0 GROUP BY 1)))", "slot n", "propensity weight")
 register("prompt_length_profile", lambda s, d: c.prompt_percentiles(r.table(s, d, "documents"), "n_chars", [50, 95, 99]), "SELECT s AS share, min(v) AS value FROM (SELECT n_chars AS v, row_number() OVER (ORDER BY n_chars) - 1 AS i, count(*) OVER () AS t FROM documents), (VALUES (50), (95), (99)) p(s) WHERE i >= round_even(s / 100.0 * (t - 1), 0) GROUP BY s", "share value")
-register("cost_state", lambda s, d: c.cost_state(r.table(s, d, "events")), "SELECT event_type AS kind, count(*) AS n, sum(value) AS cost, count(DISTINCT user_id) AS users, sum(value) / count(DISTINCT user_id) AS cost_per_user, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY 1", "n users failures", "cost cost_per_user", "kind")
+register("cost_state", lambda s, d: c.cost_state(r.table(s, d, "events")), "SELECT event_type AS kind, count(*) AS n, sum(value) AS cost, count(DISTINCT user_id) AS users, sum(value) / count(DISTINCT user_id) AS cost_per_user, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY 1", "n users failures", "cost cost_per_user", "kind", digits=4)
 register("invariance_spearman", lambda s, d: h.spearman(t.invariance(r.score_log(s, d)).join(ndcg(s, d).where("perm_idx = 0"), "qid").select(F.round("mean_variance", 9).alias("a"), F.round("ndcg", 9).alias("b")), "a", "b"), "SELECT count(*) AS n, corr(x, y) AS rho FROM (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS x, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS y FROM (SELECT round(v, 9) AS a, round(ndcg, 9) AS b FROM (SELECT qid, avg(v) AS v FROM (SELECT qid, docid, var_samp(score) AS v FROM score_log GROUP BY 1, 2) GROUP BY 1) i JOIN ndcg n ON n.qid = i.qid AND n.perm_idx = 0))", "n", "rho")
