@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .stability import tau_psi
+
 
 def fixed_pools(candidates: DataFrame, depth: int = 100) -> DataFrame:
     """(qid, docid, arm, rank) of the canonical pool, one with a candidate dropped, and one with that replaced by the next; the dropped rank is the query id modulo the pool's size."""
@@ -27,7 +29,7 @@ def pool_change(rankings: DataFrame, k: int = 10) -> DataFrame:
     pairs = left.join(right, ["qid", "arm"]).where("ra_x < ra_y").groupBy("qid", "arm").agg(F.avg(F.when(F.col("rb_x") < F.col("rb_y"), 1.0).otherwise(-1.0)).alias("tau"))
     tops = both.groupBy("qid", "arm").agg(F.count("*").alias("n_common"), F.max(((F.col("ra") < k) != (F.col("rb") < k)).cast("int")).alias("moved"))
     out = tops.join(pairs, ["qid", "arm"], "left")
-    return out.select("qid", "arm", "n_common", "tau", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (1 - F.col("tau")) / 2)).alias("pool_psi"), F.col("moved").alias("top_changed"))
+    return out.select("qid", "arm", "n_common", "tau", tau_psi(F.col("tau")).alias("pool_psi"), F.col("moved").alias("top_changed"))
 
 
 def digest(rows: DataFrame, *by: str) -> DataFrame:

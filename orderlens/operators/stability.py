@@ -43,7 +43,8 @@ def tau_of_pairs(ranking: DataFrame) -> DataFrame:
 
 
 def tau_psi(tau: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (1 - tau) / 2))
+    """From 0 (the same order always) to 1 (reversed); null stays null."""
+    return F.when(tau.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (1 - tau) / 2)))
 
 
 def rank_variance(ranking: DataFrame) -> DataFrame:

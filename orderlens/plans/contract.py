@@ -32,7 +32,7 @@ RELATIONS = {
     "docpairs": "SELECT a.qid, a.perm_idx, a.docid AS i, b.docid AS j, CASE WHEN a.rnk < b.rnk THEN 1 ELSE -1 END AS s FROM ranked a JOIN ranked b ON a.qid = b.qid AND a.perm_idx = b.perm_idx AND a.docid < b.docid",
     "pairsums": "SELECT qid, i, j, sum(s) AS t, count(*) AS k FROM docpairs GROUP BY qid, i, j",
     "tau": "SELECT qid, avg((t * t - k) / CAST(k * (k - 1) AS DOUBLE)) AS tau FROM pairsums GROUP BY qid",
-    "psi": "SELECT qid, tau, least(1, greatest(0, (1 - tau) / 2)) AS tau_psi FROM tau",
+    "psi": "SELECT qid, tau, CASE WHEN tau IS NOT NULL THEN least(1, greatest(0, (1 - tau) / 2)) END AS tau_psi FROM tau",
 }
 
 

@@ -16,7 +16,7 @@ RELATIONS["pools"] = """SELECT qid, docid, arm, row_number() OVER (PARTITION BY
     SELECT p.qid, p.docid, a.arm, CASE WHEN fs_rank = 100 THEN qid % n ELSE fs_rank END AS r FROM (SELECT *, sum(CASE WHEN fs_rank < 100 THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS n FROM deep_pool) p, (VALUES ('canonical'), ('drop'), ('replace')) a(arm)
     WHERE (fs_rank < 100 AND fs_rank <> qid % n) OR (fs_rank < 100 AND a.arm = 'canonical') OR (fs_rank = 100 AND a.arm = 'replace'))"""
 RELATIONS["pool_scored"] = "SELECT *, row_number() OVER (PARTITION BY qid, arm ORDER BY (docid * (CASE arm WHEN 'canonical' THEN 7 ELSE 7 + rank % 2 END)) % 997, docid) - 1 AS rnk FROM pools"
-RELATIONS["pool_changes"] = """SELECT t.qid, t.arm, t.n_common, p.tau, least(1, greatest(0, (1 - p.tau) / 2)) AS pool_psi, t.moved AS top_changed FROM
+RELATIONS["pool_changes"] = """SELECT t.qid, t.arm, t.n_common, p.tau, CASE WHEN p.tau IS NOT NULL THEN least(1, greatest(0, (1 - p.tau) / 2)) END AS pool_psi, t.moved AS top_changed FROM
     (SELECT o.qid, o.arm, count(*) AS n_common, max(CASE WHEN (b.rnk < 10) <> (o.rnk < 10) THEN 1 ELSE 0 END) AS moved FROM pool_scored o JOIN pool_scored b ON b.qid = o.qid AND b.docid = o.docid AND b.arm = 'canonical' AND o.arm <> 'canonical' GROUP BY 1, 2) t
     LEFT JOIN (SELECT x.qid, x.arm, avg(CASE WHEN x.rb < y.rb THEN 1.0 ELSE -1.0 END) AS tau FROM (SELECT o.qid, o.arm, b.rnk AS ra, o.rnk AS rb FROM pool_scored o JOIN pool_scored b ON b.qid = o.qid AND b.docid = o.docid AND b.arm = 'canonical' AND o.arm <> 'canonical') x
         JOIN (SELECT o.qid, o.arm, b.rnk AS ra, o.rnk AS rb FROM pool_scored o JOIN pool_scored b ON b.qid = o.qid AND b.docid = o.docid AND b.arm = 'canonical' AND o.arm <> 'canonical') y ON x.qid = y.qid AND x.arm = y.arm AND x.ra < y.ra GROUP BY 1, 2) p ON p.qid = t.qid AND p.arm = t.arm"""
