@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as q
 from ..operators import stability as t
+from ..operators.runs import presentation_study
 from ..sources import relations as r
 from .contract import RELATIONS, register
 
@@ -56,9 +57,7 @@ RELATIONS["evaluated"] = f"""SELECT n.qid, n.k, n.ndcg, n.least, n.greatest, n.g
 
 
 def evaluated(s, d):
-    log = r.score_log(s, d)
-    order = r.ranked(log)
-    return t.evaluate(log, order, q.ndcg(order, r.qrels(s, d)), r.qrels(s, d))
+    return presentation_study(r.score_log(s, d), r.qrels(s, d))
 
 
 FIGURES = "ndcg least greatest delta_range tau tau_psi rank_variance gold_rank_variance score_variance delta_stratified zeng_psi"
