@@ -11,7 +11,8 @@ from ..operators import stability as t
 from ..sources import relations as r
 from .contract import RELATIONS, register
 
-NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+#: Words that are articles are dropped as words: this SQL's word boundaries know only ASCII.
+NORMAL = r"array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
 RELATIONS["answers"] = f"SELECT qid, perm_idx, {NORMAL.format('prediction')} AS p, {NORMAL.format('gold')} AS g FROM reader_items"
 RELATIONS["answer_words"] = "SELECT qid, perm_idx, p, g, list_filter(string_split(p, ' '), lambda w: w <> '') AS pw, list_filter(string_split(g, ' '), lambda w: w <> '') AS gw FROM answers"
 RELATIONS["answer_scored"] = """SELECT qid, perm_idx, p, CASE WHEN p = g THEN 1.0 ELSE 0.0 END AS em,

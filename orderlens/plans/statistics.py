@@ -19,7 +19,7 @@ def ndcg(s, d):
 
 def diffs(s, d):
     p = ndcg(s, d).where("perm_idx < 2").groupBy("qid").pivot("perm_idx", [0, 1]).agg(F.max("ndcg"))
-    return p.select("qid", (F.col("1") - F.col("0")).alias("v"))
+    return p.select("qid", F.round(F.col("1") - F.col("0"), 12).alias("v"))  # equal values differ by nothing
 
 
 def estimates(df):
@@ -27,7 +27,7 @@ def estimates(df):
     return df.select("estimate", ((F.col("lo") <= F.col("estimate")) & (F.col("estimate") <= F.col("hi"))).cast("bigint").alias("inside"))
 
 
-DIFFS = "SELECT a.qid, b.ndcg - a.ndcg AS v FROM ndcg a JOIN ndcg b ON a.qid = b.qid AND a.perm_idx = 0 AND b.perm_idx = 1"
+DIFFS = "SELECT a.qid, round(b.ndcg - a.ndcg, 12) AS v FROM ndcg a JOIN ndcg b ON a.qid = b.qid AND a.perm_idx = 0 AND b.perm_idx = 1"
 RELATIONS["diffs"] = DIFFS
 register("bootstrap_paired", lambda s, d: estimates(c.poisson_bootstrap(diffs(s, d), "v")), "SELECT avg(v) AS estimate, 1 AS inside FROM diffs", "inside", "estimate")
 register("bootstrap_hierarchical", lambda s, d: estimates(c.poisson_bootstrap(diffs(s, d).join(r.qdim(s, d), "qid").select("qid", "dataset", "v"), "v", "dataset")), "SELECT avg(m) AS estimate, 1 AS inside FROM (SELECT dataset, avg(v) AS m FROM diffs x JOIN qdim q ON q.qid = x.qid GROUP BY dataset)", "inside", "estimate")
