@@ -224,7 +224,7 @@ def across(buckets: DataFrame, sketches: DataFrame, labels: DataFrame, every: bo
 def confirmed(pairs: DataFrame, docs: DataFrame, text: str, key: str, least: float = LEAST) -> DataFrame:
     """The rows (a, b) of distinct pairs whose multisets overlap enough. Texts go to where their pair's second text is; one with many partners goes to several tasks."""
     pairs = cut(pairs)
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     texts = docs.select(F.col(key).cast("bigint").alias("id"), text_of(text).alias("_text"))
     n = ids.count()
     texts = texts.join(F.broadcast(ids) if n <= FEW else ids, "id", "left_semi")
