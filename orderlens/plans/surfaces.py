@@ -83,7 +83,7 @@ def stored_log(s, d):
     return f.read_score_log(s, path)
 
 
-register("source_score_log", lambda s, d: stored_log(s, d).groupBy("query_id", "checkpoint").agg(F.count("*").alias("n"), F.sum("score").alias("total")), "SELECT qid AS query_id, 'base' AS checkpoint, count(*) AS n, sum(score) AS total FROM score_log GROUP BY qid", "query_id n", "total", "checkpoint", digits=8)
+register("source_score_log", lambda s, d: stored_log(s, d).groupBy("query_id", "checkpoint").agg(F.count("*").alias("n"), F.sum("score").alias("total")), "SELECT qid AS query_id, 'base' AS checkpoint, count(*) AS n, sum(score) AS total FROM score_log GROUP BY qid", "query_id n", "total", "checkpoint")
 register("source_aligned_scores", lambda s, d: f.aligned([log(s, d).where("false"), log(s, d).where("not (perm_idx = 3 and docid % 2 = 0)")]).select("qid", "docid", F.size("scores").alias("k"), F.aggregate("scores", F.lit(0.0), lambda a, v: a + v).alias("total")), "SELECT s.qid, s.docid, count(*) AS k, sum(s.score) AS total FROM score_log s WHERE s.perm_idx <> 3 OR s.qid IN (SELECT qid FROM pool GROUP BY qid HAVING bool_and(docid % 2 = 0) OR bool_and(docid % 2 = 1)) AND docid % 2 = 1 GROUP BY 1, 2", "qid docid k", "total")
 
 
@@ -187,7 +187,7 @@ def scored(s, d):
 
 register("scorer_identity", scored, "SELECT qid, perm_idx, docid, position, n - position AS score FROM (SELECT *, count(*) OVER (PARTITION BY qid, perm_idx) AS n FROM score_log)", "qid perm_idx docid position", "score")
 register("scorer_contract", lambda s, d: scorers.violations(log(s, d), log(s, d).where("not (docid % 5 = 0 and perm_idx = 1)").withColumn("score", F.when((F.col("docid") % 7 == 0) & (F.col("perm_idx") == 2), F.lit(float("nan"))).otherwise(F.col("score")))), "SELECT qid, perm_idx, docid, CASE WHEN perm_idx = 1 THEN 'lost' ELSE 'not_finite' END AS fault FROM score_log WHERE (docid % 5 = 0 AND perm_idx = 1) OR (docid % 7 = 0 AND perm_idx = 2)", "qid perm_idx docid", "", "fault")
-register("scorer_pandas", lambda s, d: scorers.pandas_scorer(lambda a, b: a * 2.0 - b, ["score", "position"])(log(s, d)).groupBy("qid").agg(F.sum("score").alias("v")), "SELECT qid, sum(score * 2 - position) AS v FROM score_log GROUP BY qid", "qid", "v", digits=8)
+register("scorer_pandas", lambda s, d: scorers.pandas_scorer(lambda a, b: a * 2.0 - b, ["score", "position"])(log(s, d)).groupBy("qid").agg(F.sum("score").alias("v")), "SELECT qid, sum(score * 2 - position) AS v FROM score_log GROUP BY qid", "qid", "v")
 register("run_coverage_report", lambda s, d: scorers.coverage(r.cand(s, d), r.cand(s, d).where("not (qid % 5 = 0 and fs_rank > 2) and qid % 11 <> 0")), "SELECT reason, count(*) AS n FROM (SELECT qid, CASE WHEN qid % 11 = 0 THEN 'missing' WHEN qid % 5 = 0 AND max(fs_rank) > 2 THEN 'partial' ELSE 'complete' END AS reason FROM cand GROUP BY qid) GROUP BY 1", "n", "", "reason")
 
 
