@@ -40,15 +40,18 @@ def verdicts(s, d):
     return r.verdict_items(s, d)
 
 
-GOLD = F.when(F.col("qid") % 3 == 0, "SUPPORTED").when(F.col("qid") % 3 == 1, "REFUTED").otherwise("NEI")
+def gold():
+    return F.when(F.col("qid") % 3 == 0, "SUPPORTED").when(F.col("qid") % 3 == 1, "REFUTED").otherwise("NEI")
+
+
 RELATIONS["verdict_rows"] = """SELECT v.qid, avg(ok) AS accuracy, max(ok) - min(ok) AS accuracy_spread, avg(CASE WHEN prediction IS NULL THEN 1.0 ELSE 0.0 END) AS invalid, max(m.votes) AS votes, max(m.n) AS n, max(1 - m.votes / CAST(m.n AS DOUBLE)) AS flip
     FROM (SELECT *, CASE WHEN prediction = (CASE qid % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'REFUTED' ELSE 'NEI' END) THEN 1.0 ELSE 0.0 END AS ok FROM verdict_items) v JOIN (SELECT qid, max(n) AS votes, sum(n) AS n FROM (SELECT qid, coalesce(prediction, '<INVALID>') AS v, count(*) AS n FROM verdict_items GROUP BY 1, 2) GROUP BY 1) m ON m.qid = v.qid GROUP BY v.qid"""
 register(
     "verdict_normalization", lambda s, d: r.table(s, d, "events").select("event_id", x.collapsed(F.col("event_type")).alias("t")).select("event_id", c.verdict(F.when(F.col("t") == "view", "It is supported.").when(F.col("t") == "click", "supported or refuted").otherwise("FALSE")).alias("v")),
     "SELECT event_id, CASE event_type WHEN 'view' THEN 'SUPPORTED' WHEN 'click' THEN NULL ELSE 'REFUTED' END AS v FROM events", "event_id", "", "v",
 )
-register("verdict_per_query", lambda s, d: c.verdict_per_query(verdicts(s, d), GOLD), "SELECT * FROM verdict_rows", "qid votes n", "accuracy accuracy_spread invalid flip")
-register("verdict_corpus", lambda s, d: q.over_queries(c.verdict_per_query(verdicts(s, d), GOLD), ["accuracy", "accuracy_spread", "invalid", "flip"]), " UNION ALL ".join(f"SELECT '{m}' AS measure, avg({m}) AS mean, coalesce(stddev_samp({m}), 0) AS std, count({m}) AS n FROM verdict_rows" for m in ("accuracy", "accuracy_spread", "invalid", "flip")), "n", "mean std", "measure")
+register("verdict_per_query", lambda s, d: c.verdict_per_query(verdicts(s, d), gold()), "SELECT * FROM verdict_rows", "qid votes n", "accuracy accuracy_spread invalid flip")
+register("verdict_corpus", lambda s, d: q.over_queries(c.verdict_per_query(verdicts(s, d), gold()), ["accuracy", "accuracy_spread", "invalid", "flip"]), " UNION ALL ".join(f"SELECT '{m}' AS measure, avg({m}) AS mean, coalesce(stddev_samp({m}), 0) AS std, count({m}) AS n FROM verdict_rows" for m in ("accuracy", "accuracy_spread", "invalid", "flip")), "n", "mean std", "measure")
 register("verdict_label_counts", lambda s, d: c.label_counts(verdicts(s, d)), "SELECT coalesce(prediction, '<INVALID>') AS label, count(*) AS n FROM verdict_items GROUP BY 1", "n", "", "label")
 
 
