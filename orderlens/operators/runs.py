@@ -7,6 +7,7 @@ from copy import deepcopy
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..sources.relations import ranked
@@ -139,7 +140,7 @@ def materialized(records: DataFrame, query: Column, options: Column, gold: Colum
     }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def last_boxed(texts):
     r"""What the last balanced \boxed{} of a text holds; null if there is none. Balanced braces are beyond regular expressions, so this is an Arrow-batched function."""
     import pandas as pd
