@@ -1,7 +1,7 @@
 """Secret scans: three fixed patterns, and the cost of guessing for values that stand in a credential's place.
 
 The cost is the least sum, over all ways to cut a value into spans, of the log10 of the guesses that each span takes: a common word, a date or year, a repeated
-unit, a keyboard walk, a run of the alphabet or of digits, or brute force. A value of at least `threshold` is a secret.
+unit, a keyboard walk, a run of the alphabet or of digits, speech, or brute force over the alphabet of the whole value. A value of at least `threshold` is a secret.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE, LEAST_ACCESS = 12, 18
 
+#: A value after a name that contains a credential word, with or without the scheme of an authorization before it, or after "Bearer" alone.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|authorization|credentials?|bearer)["']?\x20{0,3}(?:[:=]|=>|->|is\x20)\x20{0,3}["'`]?([!-~]{8,})""",
+    r"""(?:(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|authorization|credential|bearer)[A-Za-z0-9_-]{0,32}["']?\x20{0,3}(?:[:=]|=>|->|is\x20)\x20{0,3}["'`]?(?:(?:bearer|basic|token|apikey)\x20{1,3}["'`]?)?|(?<![A-Za-z0-9])bearer\x20{1,3}["'`]?)([!-~]{8,})""",
     re.I | re.A,
 )
 #: A text without any of these has neither an assignment nor a credential's place.
@@ -37,9 +38,9 @@ summer winter spring autumn love money computer internet server database system
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("430157$@!", "aeoistsai")
-DATES = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01]))|(?:(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d)")
+DATES = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:1[0-2]|0?[1-9])\1(?:[12]\d|3[01]|0?[1-9]))|(?:(?:[12]\d|3[01]|0?[1-9])([-/._]?)(?:1[0-2]|0?[1-9])\2(?:19|20)\d\d)")
 YEARS = re.compile(r"(?:19|20)\d\d")
-#: The longest span of any kind but brute force.
+#: The longest span of a common word, of speech or of brute force.
 SPAN = 32
 
 
@@ -52,19 +53,41 @@ def beside() -> set[tuple[str, str]]:
 BESIDE = beside()
 
 
-def brute(span: str) -> float:
-    """log10 of the guesses for a span without structure: by the kinds of characters in it; letters of one case are taken for speech, which has less choice."""
-    if span.isalpha() and (span.islower() or span.istitle() or span.isupper()):
-        return 0.75 * len(span)
-    kinds = 26 * any(c.islower() for c in span) + 26 * any(c.isupper() for c in span) + 10 * any(c.isdigit() for c in span) + 20 * any(not c.isalnum() for c in span)
-    return log10(max(kinds, 2)) * len(span) * 0.75
+#: Letters of one case in a row that have a vowel, and nowhere five consonants in a row, are taken for speech, which has less choice a letter.
+SPEECH = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}(?![a-z])")
+VOWEL, HARD = re.compile(r"[aeiouy]", re.I), re.compile(r"[^aeiouy]{5}", re.I)
+#: The least length of speech; log10 of the guesses for a letter of it, for the choice of its kind and length within a value, and for a sign between letters.
+LEAST_SPEECH, LETTER, KIND, JOINT = 4, 0.75, log10(4 * 8), 1.0
+
+
+def alphabet(value: str) -> int:
+    """The number of characters of the kinds that a value has."""
+    return max(26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 10 * any(c.isdigit() for c in value) + 20 * any(not c.isalnum() for c in value), 2)
+
+
+def brute(span: str, choice: int = 94) -> float:
+    """log10 of the guesses for a span without structure, of characters that are each one of `choice`."""
+    return log10(choice) * len(span)
+
+
+def speech_of(value: str) -> list[tuple[int, int, float]]:
+    """Spans of speech, which but for a whole value cost the choice of their kind and length as well, and the single signs between letters."""
+    found, n = [], len(value)
+    for m in SPEECH.finditer(value):
+        for i in range(m.start(), m.end() - LEAST_SPEECH + 1):
+            for j in range(i + LEAST_SPEECH, min(m.end(), i + SPAN) + 1):
+                if VOWEL.search(value, i, j) and not HARD.search(value, i, j):
+                    found.append((i, j, LETTER * (j - i) + KIND * (j - i < n)))
+    found += [(i, i + 1, JOINT) for i in range(1, n - 1) if value[i] in "_-./:" and value[i - 1].isalpha() and value[i + 1].isalpha()]
+    return found
 
 
 def spans_of(value: str) -> list[tuple[int, int, float]]:
-    """Every structured span: start, end, log10 of its guesses."""
-    found, low, n = [], value.lower(), len(value)
+    """Every span: start, end, log10 of its guesses; those without structure are priced by the alphabet of the whole value, so that cutting them saves nothing."""
+    found, low, n, choice = speech_of(value), value.lower(), len(value), alphabet(value)
     plain = low.translate(LEET)
     for i in range(n):
+        found += [(i, j, brute(value[i:j], choice)) for j in range(i + 1, min(n, i + SPAN) + 1)]
         for j in range(i + 3, min(n, i + SPAN) + 1):
             rank = min((RANK[w] for w in (low[i:j], plain[i:j]) if w in RANK), default=0)
             if rank:
@@ -77,7 +100,7 @@ def spans_of(value: str) -> list[tuple[int, int, float]]:
             while j + unit <= n and value[j : j + unit] == value[i : i + unit]:
                 j += unit
             if j >= i + max(3, 2 * unit):
-                found.append((i, j, brute(value[i : i + unit]) + log10((j - i) / unit)))
+                found.append((i, j, brute(value[i : i + unit], choice) + log10((j - i) / unit)))
         for same in (lambda a, b: (a, b) in BESIDE, lambda a, b: ord(b) - ord(a) == 1, lambda a, b: ord(b) - ord(a) == -1):
             j = i + 1
             while j < n and same(low[j - 1], low[j]):
@@ -95,8 +118,6 @@ def guess_cost(value: str) -> float:
         ends.setdefault(j, []).append((i, cost))
     best = [0.0] + [float("inf")] * n
     for j in range(1, n + 1):
-        for i in range(max(0, j - SPAN), j):
-            best[j] = min(best[j], best[i] + brute(value[i:j]) + 0.3 * (i > 0))
         for i, cost in ends.get(j, ()):
             best[j] = min(best[j], best[i] + cost + 0.3 * (i > 0))
     return best[n]

@@ -305,6 +305,21 @@ def test_guess_costs_are_ordered():
         assert cost(v) == pytest.approx(best(0))
 
 
+def test_short_random_values_are_secrets():
+    assert min(secrets.guess_cost(v) for v in ("k3X9qz7wP", "aB3$xY9!", "k3X9qz7w", "7fK2mQ9x")) >= 10
+    assert max(secrets.guess_cost(v) for v in ("password123!", "incorrect", "jonathan1985", "48291736", "2012-05-17")) < 10
+    rng, signs = random.Random(7), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    values = ["".join(rng.choice(signs) for _ in range(n)) for n in (8, 9) for _ in range(200)]
+    assert sum(secrets.guess_cost(v) >= 10 for v in values) >= 0.95 * len(values)
+
+
+@pytest.mark.parametrize("place", ["password={}", "Authorization: Bearer {}", '"authorization": "Bearer {}"', "curl -H 'Authorization: Basic {}'", "bearer {}", "userPassword: {}", "SECRET_KEY={}", "GITHUB_TOKEN_OLD = {}", "myapikey2 => {}"])
+def test_places_of_credentials(place):
+    text = place.format("k3X9qz7w")
+    assert [text[s["start"] : s["end"]] for s in secrets.find(text) if s["kind"] == "guess"] == ["k3X9qz7w"]
+    assert secrets.find(place.format("something")) == []
+
+
 def test_secrets_of_edge_rows(spark, edge, empty):
     assert secrets.scan(edge).count() == edge.count() and secrets.scan(empty).count() == 0
     row = docs(spark, ["a token = 04dbebab91ab85687d33 b", None]).select("doc_id", "text")
