@@ -52,6 +52,7 @@ register(
     "qid", "single variance extent averaged",
 )
 register("composition_digest", lambda s, d: c.digest(c.slots(log(s, d), 5).where("perm_idx < 3"), "qid", "perm_idx", "chunk"), "SELECT qid, perm_idx, position // 5 AS chunk, substr(sha256(array_to_string(list_sort(list(CAST(docid AS VARCHAR))), chr(10))), 1, 16) AS digest FROM score_log WHERE perm_idx < 3 GROUP BY 1, 2, 3", "qid perm_idx chunk", "", "digest")
+register("composition_digest_all", lambda s, d: c.digest(c.slots(log(s, d), 5), "qid", "perm_idx", "chunk"), "SELECT qid, perm_idx, position // 5 AS chunk, substr(sha256(array_to_string(list_sort(list(CAST(docid AS VARCHAR))), chr(10))), 1, 16) AS digest FROM score_log GROUP BY 1, 2, 3", "qid perm_idx chunk", "", "digest")
 
 
 def arms(s, d):

@@ -75,6 +75,7 @@ register("window_blocks", lambda s, d: agg(r.cand(s, d).select("qid", F.floor(F.
 register("window_stratified_sample", lambda s, d: c.stratified(r.cand(s, d), 2, 6, 2, 1).select("qid", "docid", "band"), "SELECT qid, docid, band FROM (SELECT *, row_number() OVER (PARTITION BY qid, band ORDER BY md5(concat(qid, ':', docid))) AS i FROM (SELECT *, CASE WHEN fs_rank < 2 THEN 0 WHEN fs_rank < 6 THEN 1 ELSE 2 END AS band FROM cand)) WHERE band = 0 OR (band = 1 AND i <= 2) OR (band = 2 AND i <= 1)", "qid docid band")
 register("window_round_robin_shards", lambda s, d: agg(r.cand(s, d).select((F.col("fs_rank") % 3).alias("shard")), "shard"), "SELECT fs_rank % 3 AS shard, count(*) AS n FROM cand GROUP BY 1", "shard n")
 register("window_running_best", lambda s, d: r.table(s, d, "orders").where("o_custkey % 10 = 0").select("o_custkey", "o_orderkey", F.max("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("best")), "SELECT o_custkey, o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS best FROM orders WHERE o_custkey % 10 = 0", "o_custkey o_orderkey", "best")
+register("window_running_best_all", lambda s, d: r.table(s, d, "orders").select("o_custkey", "o_orderkey", F.max("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("best")), "SELECT o_custkey, o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS best FROM orders", "o_custkey o_orderkey", "best")
 register("window_warmup", lambda s, d: r.cand(s, d).select("qid", "docid", c.warmup(F.col("fs_rank"), 8, 3.0).alias("lam")), "SELECT qid, docid, least(3.0, 3.0 * fs_rank / 8) AS lam FROM cand", "qid docid", "lam")
 register("window_quantile_map", lambda s, d: c.quantile_map(log(s, d).where("perm_idx = 0").drop("perm_idx"), log(s, d).where("perm_idx = 1").drop("perm_idx"), "qid", "score").select("qid", "docid", "mapped"), "SELECT a.qid, a.docid, b.score AS mapped FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, docid) AS i FROM score_log WHERE perm_idx = 0) a JOIN (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, docid) AS i FROM score_log WHERE perm_idx = 1) b ON a.qid = b.qid AND a.i = b.i", "qid docid", "mapped")
 
