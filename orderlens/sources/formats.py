@@ -164,15 +164,23 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """(qid, docid, score, rank): lexical first stage over (qid, query) for lower-case words; only query words are kept of the documents."""
+#: The most words of all queries that are broadcast.
+ASKED = 1_000_000
+
+
+def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int, k1: float = 0.9, b: float = 0.4, most: int = ASKED) -> DataFrame:
+    """(qid, docid, score, rank): lexical first stage over (qid, query) for lower-case words; only query words are kept of the documents.
+
+    Documents' words are shuffled once, by document, where their scores are summed and each task keeps its own best k. Queries of more than `most` words in all are joined by shuffles.
+    """
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     asked = queries.select("qid", F.explode(F.array_distinct(words(F.col("query")))).alias("w"))
+    known = F.broadcast if asked.limit(most + 1).count() <= most else lambda df: df
     terms = docs.select(F.col(key).alias("docid"), words(F.col(text)).alias("_w")).withColumn("n", F.size("_w"))
     sizes = terms.agg(F.count("*").alias("all"), F.avg("n").alias("mean"))
-    hits = terms.select("docid", "n", F.explode("_w").alias("w")).join(asked.select("w").distinct(), "w", "left_semi").groupBy("docid", "n", "w").agg(F.count("*").alias("tf"))
+    hits = terms.select("docid", "n", F.explode("_w").alias("w")).join(known(asked.select("w").distinct()), "w", "left_semi").repartition("docid").groupBy("docid", "n", "w").agg(F.count("*").alias("tf"))
     idf = hits.groupBy("w").agg(F.count("*").alias("df"))
-    scored = hits.join(idf, "w").join(F.broadcast(sizes)).join(asked, "w")
     part = F.log(1 + (F.col("all") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    total = scored.groupBy("qid", "docid").agg(F.round(F.sum(part), 6).alias("score"))
+    parts = hits.join(known(idf), "w").join(F.broadcast(sizes)).select("docid", "w", part.alias("_part"))
+    total = parts.join(known(asked), "w").groupBy("qid", "docid").agg(F.round(F.sum("_part"), 6).alias("score"))
     return total.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "docid"))).where(F.col("rank") <= k)

@@ -201,3 +201,32 @@ def test_bad_run_lines_are_marked(spark, tmp_path):
 def test_last_judgment_wins(spark, tmp_path):
     (tmp_path / "q.txt").write_text("q 0 d 1\nq 0 d 3\nq 0 e 2\nshort\n")
     assert {tuple(r) for r in formats.read_qrels(spark, str(tmp_path)).collect()} == {("q", "d", 3), ("q", "e", 2)}
+
+
+def bm25_by_hand(queries, docs, k, k1=0.9, b=0.4):
+    words = {d: t.lower().split() for d, t in docs.items()}
+    mean, out = sum(map(len, words.values())) / len(words), set()
+    for q, text in queries.items():
+        score = {}
+        for w in set(text.lower().split()):
+            df = sum(w in v for v in words.values())
+            for d, v in words.items():
+                if tf := v.count(w):
+                    score[d] = score.get(d, 0) + math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(v) / mean))
+        out |= {(q, d, i + 1) for i, d in enumerate(sorted(score, key=lambda d: (-round(score[d], 6), d))[:k])}
+    return out
+
+
+def test_bm25_query_searches_for_every_item(spark, tmp_path):
+    from orderlens.plans.registry import QUERIES
+
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice("Ab c d e f g h i j".split()) for _ in range(n))
+    items, docs = {i: text(4) for i in range(0, 120, 5)}, {i: text(rng.randint(1, 12)) for i in range(40)}
+    spark.createDataFrame(list(items.items()), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.qid, r.docid, r["rank"]) for r in QUERIES["source_bm25_first_stage"](spark, str(tmp_path)).collect()}
+    assert got == bm25_by_hand(items, docs, 10)
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")
+    by_shuffles = formats.bm25(read("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), read("documents"), "doc_id", "text", 10, most=0)
+    assert {(r.qid, r.docid, r["rank"]) for r in by_shuffles.collect()} == got
