@@ -120,6 +120,7 @@ def training_events(s, d):
 
 register("source_training_progress", training_events, "SELECT event_id AS step, value AS metric FROM events WHERE event_type = 'click'", "step", "metric", digits=6)
 register("source_dense_first_stage", lambda s, d: f.dense_top_k(r.table(s, d, "embeddings").where("vec_id < 20"), r.table(s, d, "embeddings"), "vec_id", "embedding", 10).select("qid", "docid", "rank"), "SELECT * FROM (SELECT q.vec_id AS qid, d.vec_id AS docid, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) DESC, d.vec_id) AS rank FROM embeddings q, embeddings d WHERE q.vec_id < 20) WHERE rank <= 10", "qid docid rank")
+register("source_dense_first_stage_fiftieth", lambda s, d: f.dense_top_k(r.table(s, d, "embeddings").where("vec_id % 50 = 0"), r.table(s, d, "embeddings"), "vec_id", "embedding", 10).select("qid", "docid", "rank"), "SELECT * FROM (SELECT q.vec_id AS qid, d.vec_id AS docid, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) DESC, d.vec_id) AS rank FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0) WHERE rank <= 10", "qid docid rank")
 register("source_bm25_first_stage", lambda s, d: f.bm25(r.table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), r.table(s, d, "documents"), "doc_id", "text", 10), None, "qid docid rank", "score")
 
 # scalar functions

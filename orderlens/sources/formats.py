@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scratch import scratch
+
 SCORE_LOG = "checkpoint string, recipe string, query_id string, perm_idx int, doc_id string, position int, score double, permutation_label string, seed int"
 SILVER = "query_id string, doc_id string, score_continuous double, score_raw_vector array<double>, score_grade_vector array<double>, k_perms int, teacher string, created_at string, extra map<string,string>"
 FIXTURE = "qid string, query string, passages array<struct<pid:string,text:string>>"
@@ -153,15 +155,30 @@ def progress_events(lines: DataFrame) -> DataFrame:
     return lines.select(F.from_json("value", schema).alias("e")).where("e.event = 'eval'").select("e.step", "e.metric")
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(qid, docid, score, rank): exact inner products of a stated set of queries, which is broadcast and checked to be small, against all vectors; each task keeps its own best k first."""
-    n = queries.count()
-    if n > 10_000:
-        raise ValueError(f"{n} queries are too many to broadcast; search them in blocks")
-    dot = F.aggregate(F.zip_with("_q", vector, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    rows = vectors.join(F.broadcast(queries.select(F.col(key).alias("qid"), F.col(vector).alias("_q")))).select("qid", F.col(key).alias("docid"), F.round(dot, 6).alias("score"))
+#: The most queries that are broadcast at once.
+BLOCK = 10_000
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
+    """(qid, docid, score, rank): exact inner products of queries against all vectors; each task keeps its own best k first.
+
+    Up to `block` queries are broadcast. Of more, blocks of about half as many are searched one after the other, each written before the next is begun.
+    """
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "docid")
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    def search(some: DataFrame) -> DataFrame:
+        dot = F.aggregate(F.zip_with("_q", vector, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+        rows = vectors.join(F.broadcast(some.select(F.col(key).alias("qid"), F.col(vector).alias("_q")))).select("qid", F.col(key).alias("docid"), F.round(dot, 6).alias("score"))
+        return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    n = queries.count()
+    if n <= block:
+        return search(queries)
+    blocks = -(-2 * n // block)
+    path = scratch(queries.sparkSession, "dense")
+    for i in range(blocks):
+        search(queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i)).write.mode("append").parquet(path)
+    return queries.sparkSession.read.parquet(path)
 
 
 #: The most words of all queries that are broadcast.

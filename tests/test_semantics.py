@@ -203,6 +203,15 @@ def test_last_judgment_wins(spark, tmp_path):
     assert {tuple(r) for r in formats.read_qrels(spark, str(tmp_path)).collect()} == {("q", "d", 3), ("q", "e", 2)}
 
 
+def test_dense_search_in_blocks(spark):
+    rng = random.Random(5)
+    vectors = {i: [rng.choice([-1.0, 0.5, 2.0]) for _ in range(6)] for i in range(60)}
+    table = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<float>")
+    want = {(q, d, i + 1) for q, v in vectors.items() for i, d in enumerate(sorted(vectors, key=lambda d: (-sum(a * b for a, b in zip(v, vectors[d])), d))[:4])}
+    for block in (60, 25):
+        assert {(r.qid, r.docid, r["rank"]) for r in formats.dense_top_k(table, table, "vec_id", "embedding", 4, block).collect()} == want
+
+
 def bm25_by_hand(queries, docs, k, k1=0.9, b=0.4):
     words = {d: t.lower().split() for d, t in docs.items()}
     mean, out = sum(map(len, words.values())) / len(words), set()
