@@ -98,6 +98,7 @@ def silver(s, d):
 
 register("source_silver_jsonl", lambda s, d: silver(s, d).select("query_id", "doc_id", "score_continuous", "k_perms", F.col("score_raw_vector")[2].alias("third"), F.col("extra")["from"].alias("origin")), "SELECT query_id, CAST(doc_id AS VARCHAR) AS doc_id, avg(score) AS score_continuous, count(*) AS k_perms, max(score) FILTER (WHERE k = 2) AS third, 'raw' AS origin FROM silver_raw GROUP BY 1, 2", "k_perms", "score_continuous third", "query_id doc_id origin")
 register("source_regrouped_check", lambda s, d: f.regrouped(r.table(s, d, "events").where("event_id < 500"), "event_type", "event_id"), "SELECT event_type, count(*) AS n_groups FROM (SELECT event_type, lag(event_type) OVER (ORDER BY event_id) AS p FROM events WHERE event_id < 500) WHERE p IS DISTINCT FROM event_type GROUP BY 1 HAVING count(*) > 1", "n_groups", "", "event_type")
+register("source_regrouped_check_all", lambda s, d: f.regrouped(r.table(s, d, "events"), "event_type", "event_id"), "SELECT event_type, count(*) AS n_groups FROM (SELECT event_type, lag(event_type) OVER (ORDER BY event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type GROUP BY 1 HAVING count(*) > 1", "n_groups", "", "event_type")
 register("source_first_seen_order", lambda s, d: f.first_seen(r.table(s, d, "events"), "user_id", "event_id"), "SELECT user_id, min(event_id) AS place FROM events GROUP BY 1", "user_id place")
 register("source_duplicate_ids", lambda s, d: f.unique_ids(r.table(s, d, "lineitem"), "l_orderkey"), "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1", "l_orderkey n")
 register("source_shard_concat", lambda s, d: f.union_shards([r.table(s, d, "events").where(F.col("event_id") % 3 == i) for i in range(3)]).groupBy("event_type").agg(F.count("*").alias("n")), "SELECT event_type, count(*) AS n FROM events GROUP BY 1", "n", "", "event_type")

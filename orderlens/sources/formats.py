@@ -115,10 +115,40 @@ def read_silver(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SILVER).json(path)
 
 
-def regrouped(lines: DataFrame, key: str, line: str) -> DataFrame:
-    """Keys whose rows do not stand together: more changes of key than keys. Needs an order of lines, so it is for files of one writer."""
-    w = Window.partitionBy(F.lit(0)).orderBy(line)
-    starts = lines.withColumn("_p", F.lag(key).over(w)).where(~F.col(key).eqNullSafe(F.col("_p")))
+#: The most quantiles that ranges of lines start from, the most ranges in all, and the lines of one.
+STRETCHES, RANGES, PER_RANGE = 256, 65_536, 100_000
+
+
+def ranges(lines: DataFrame, line: str, per_range: int) -> Column:
+    """A number for ranges of the integer line in its order, with about per_range rows each; lines without a value have -1."""
+    n = lines.count()
+    stretches = max(1, min(STRETCHES, n // per_range))
+    edges = sorted(set(lines.agg(F.percentile_approx(line, [i / stretches for i in range(stretches + 1)], 10_000)).first()[0] or []))
+    if len(edges) < 2:
+        return F.when(F.col(line).isNull(), -1).otherwise(0).cast("bigint")
+    each = max(1, min(RANGES, n // per_range) // (len(edges) - 1))
+
+    def number(lo: int, hi: int) -> Column:
+        if hi - lo > 1:
+            mid = (lo + hi) // 2
+            return F.when(F.col(line) < edges[mid], number(lo, mid)).otherwise(number(mid, hi))
+        width = max(1, -(-(edges[hi] - edges[lo]) // each))
+        return lo * each + F.greatest(F.lit(0), F.least(F.floor((F.col(line) - edges[lo]) / width), F.lit(each - 1)))
+
+    return F.coalesce(number(0, len(edges) - 1), F.lit(-1)).cast("bigint")
+
+
+def regrouped(lines: DataFrame, key: str, line: str, per_range: int = PER_RANGE) -> DataFrame:
+    """Keys whose rows do not stand together: more changes of key than keys. Needs an integer order of lines, so it is for files of one writer.
+
+    Rows are compared within ranges of lines, and each range's first row with the last of the range before; only these edges are brought together.
+    """
+    rows = lines.select(key, line).withColumn("_range", ranges(lines, line, per_range))
+    at = F.struct(F.col(line), F.col(key))
+    ends = rows.groupBy("_range").agg(F.max(at).alias("_last"))
+    before = ends.select("_range", F.lag("_last").over(Window.partitionBy(F.lit(0)).orderBy("_range")).alias("_before"))
+    inner = rows.withColumn("_p", F.lag(at).over(Window.partitionBy("_range").orderBy(line, key)))
+    starts = inner.join(F.broadcast(before), "_range").where(~F.col(key).eqNullSafe(F.coalesce("_p", "_before")[key]))
     return starts.groupBy(key).agg(F.count("*").alias("n_groups")).where("n_groups > 1")
 
 

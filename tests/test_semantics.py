@@ -203,6 +203,18 @@ def test_last_judgment_wins(spark, tmp_path):
     assert {tuple(r) for r in formats.read_qrels(spark, str(tmp_path)).collect()} == {("q", "d", 3), ("q", "e", 2)}
 
 
+@pytest.mark.parametrize("per_range", [1, 3, 10, 1000])
+def test_regrouped_by_ranges_of_lines(spark, per_range):
+    rng = random.Random(per_range)
+    lines = sorted(rng.sample(range(200), 40)) + [(7 << 33) + i for i in range(40)]
+    keys = [rng.choice(["a", "b", None]) for _ in lines[:-10]] + ["late"] * 4 + ["a"] + ["once"] * 3 + ["late"] * 2
+    starts = [k for p, k in zip([None, *keys], keys) if p != k]
+    got = {r.k: r.n_groups for r in formats.regrouped(spark.createDataFrame(list(zip(lines, keys)), "line bigint, k string").repartition(5), "k", "line", per_range).collect()}
+    assert got == {k: starts.count(k) for k in starts if starts.count(k) > 1} and got["late"] == 2 and "once" not in got
+    one = spark.createDataFrame([(5, "a")], "line bigint, k string")
+    assert formats.regrouped(one, "k", "line", per_range).count() == formats.regrouped(one.where("false"), "k", "line", per_range).count() == 0
+
+
 def test_dense_search_in_blocks(spark):
     rng = random.Random(5)
     vectors = {i: [rng.choice([-1.0, 0.5, 2.0]) for _ in range(6)] for i in range(60)}
