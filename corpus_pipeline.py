@@ -26,10 +26,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage, told by id (which may be null) and text."""
     found = contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = cut(found.where("n_hit > 0").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= neardup.FEW else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = cut(found.where("n_hit > 0").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= neardup.FEW else gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def windows_at(starts: Column, size: int) -> Column:
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, text_hash, n_words, n_hit (words inside any occurrence of an item's window) and items (the sorted ids, as strings, of items with occurring windows).
 
-    A null or empty text has no words; neither a null item text nor an item with a null id matches anything. Repeated rows stay; other columns are dropped; without documents there are no rows, without items no hits.
+    A null or empty text has no words; a document with a null id is like any other; neither a null item text nor an item with a null id matches anything. Repeated rows stay; other columns are dropped; without documents there are no rows, without items no hits.
     """
     windows = item_windows(items, item_key, item_text)
     known = windows.count()
@@ -120,7 +120,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         part = rows.select(*keys, F.explode(F.array_distinct(F.array_compact(F.col("m") if size == WINDOW else gram_hashes(F.col("h"), F.col("n"), size)))).alias("v"), F.lit(size).alias("size"))
         flat = part if flat is None else flat.unionByName(part)
     chosen = flat.join(prints, (F.col("v") == F.col("_v")) & (F.col("size") == F.col("_s")), "left_semi").select(*keys).distinct()
-    picked = rows.join(chosen, keys, "left_semi")
+    chosen = chosen.select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"))
+    picked = rows.join(chosen, F.col("key").eqNullSafe(F.col("_key")) & (F.col("text_hash") == F.col("_hash")), "left_semi")
     arrays = [windows_at(F.col(f"s{size}"), size) for size in sorted(by_size)]
     found = picked.select(*keys, "n", F.explode(F.concat(*arrays)).alias("c")).select(*keys, "n", "c.start", "c.size", "c.window")
     joined = found.join(windows.select(F.col("window").alias("_w"), "items"), F.col("window") == F.col("_w"))

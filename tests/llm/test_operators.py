@@ -383,6 +383,14 @@ def test_contamination_equals_brute_force(spark, edge, empty, monkeypatch, most)
     assert contamination.decontaminate(edge, table.where("false")).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("most", [contamination.TABLE_WINDOWS, 0])
+def test_contamination_of_null_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(contamination, "TABLE_WINDOWS", most)  # 0: by shuffles
+    rows = spark.createDataFrame([(None, "x a b c y"), (None, "clean"), (1, "a b c"), (1, "clean")], "doc_id bigint, text string")
+    found = contamination.decontaminate(rows, spark.createDataFrame([(1, "a b c")], "item_id bigint, text string"))
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r["items"]) for r in found.collect()) == [(0, 1, 0, []), (0, 5, 3, ["1"]), (1, 1, 0, []), (1, 3, 3, ["1"])]
+
+
 # 10 toxicity
 def test_toxicity_finds_the_sentence():
     rng = random.Random(6)

@@ -28,3 +28,10 @@ def test_empty_documents(spark, sf):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, sf) if docs.columns[-1] == "n_chars" else docs
     assert docs.count() == 0
+
+
+def test_contaminated_rows_go_by_their_own_hits(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, "x a b c y"), (None, "clean"), (1, "a b c"), (1, "clean"), (2, None)], "doc_id bigint, text string")
+    left = pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, "clean"), (1, "clean"), (2, "")]
