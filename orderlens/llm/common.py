@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is named (tests on one machine)."""
+    """The folder that the cluster shares. Where none is named, on one machine (tests) one of our own; a cluster has to name it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="orderlens-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -31,6 +38,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A cut() whose tables are deleted at the end; what is to outlast them has to be cut by cut() itself."""
+    top = f"{checkpoint_dir(spark)}/tables-{uuid4().hex}"
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{top}/{uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(top)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_of(name: str) -> Column:
     """A text column in which null is the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -41,8 +66,30 @@ def fold(name: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(name).cast("string"), F.lit("")), "UTF-8")), F.lit(5))
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], rows: int = 256) -> DataFrame:
-    """Arrow batches of at most `rows` rows through a function from lists to lists. make runs once in each task and gives that function; memory is bounded by `rows` texts besides the Arrow batch."""
+def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows and, but for single rows that are larger, `size` bytes of strings."""
+    length = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            length += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(length), 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        to = min(max(to, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def release() -> None:
+    """Gives memory that a task no longer uses back to the machine; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], rows: int = 256, size: int = 1 << 21) -> DataFrame:
+    """Arrow batches, in slices of at most `rows` rows and `size` bytes, through a function from lists to lists. make runs once in each task and gives that function; memory is bounded by a slice and its results besides the Arrow batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -51,9 +98,11 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                got = work(batch.slice(at, rows).to_pydict())
+            for part in slices(batch, rows, size):
+                got = work(part.to_pydict())
                 yield pa.RecordBatch.from_pydict({f.name: pa.array(got[f.name], f.type) for f in arrow}, schema=arrow)
+        del work
+        release()
 
     return df.mapInArrow(run, schema)
 

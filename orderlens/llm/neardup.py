@@ -4,39 +4,38 @@ A document is the multiset of its shingles of five words. Each shingle and dyadi
 the signature and a weight; those with a weight up to the shingle's count are the document's, and a signature keeps the earliest point of each place. The chance that two
 documents keep the same point is their weighted Jaccard similarity. A process ends as soon as its next point is later than all that the signature holds.
 
-Signatures are cut into bands. Every document is compared with the first of the buckets of equal bands that it shares most of; then, as long as that joins classes, with
-the one of another class that its signature agrees with most in each bucket; and at last with all others of its buckets that may reach the similarity and are still of
-another class. Links count only as multiset overlap confirms them.
+Signatures are cut into bands. Every distinct text is compared with the first of the buckets of equal bands that it shares most of. Then all texts of a bucket that may
+reach the similarity and are still of different classes are compared inside the bucket's task, which holds their multisets and joins classes as it goes; it gives only the
+links that joined two, so fewer than its texts, whatever the number of pairs. Links count only as multiset overlap confirms them.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut, map_rows, text_of
+from .common import attach, cut, map_rows, release, tables, text_of
 
 SHINGLE, LEAST = 5, 0.8
 #: Places of a signature, and rows of a band: a pair at similarity 0.8 shares none of 42 bands three times in a million.
 PLACES, ROWS = 256, 6
 BANDS = PLACES // ROWS
-#: More than three and a half standard deviations below 0.8: pairs whose signatures agree in fewer places are not compared.
-AGREE = 0.71
+#: Nearly five standard deviations below 0.8: pairs whose signatures agree in fewer places are not compared. At 0.8 that are three in a million, as with the bands.
+AGREE = 0.68
 #: Ids that are broadcast at most, to read only their texts; more are joined by a shuffle.
 FEW = 400_000
-#: Documents that are compared with the same text in one task.
+#: Texts that are compared with the same one in a task.
 TOGETHER = 512
-#: Documents of a bucket that one task holds; larger buckets are cut into blocks, and each two blocks meet in a task.
-BLOCK = 1024
+#: Texts of a bucket, and their shingles, that a block holds on average; larger buckets are cut into blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 #: Of a byte: itself (A-Z in lower case) in a word, else a space.
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,7 +47,9 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = found
         return found
 
 
@@ -124,8 +125,14 @@ def bands_of(small: np.ndarray) -> np.ndarray:
     return band.view(np.int64)
 
 
-def sketch(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """doc, digest of the text, n (shingles), sig (16 bits a place) and bands of each document; the last two null without words."""
+def digest_of(text: Column) -> Column:
+    """What equal texts share: half of a SHA-256."""
+    return F.unhex(F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 32))
+
+
+def sketch(rows: DataFrame) -> DataFrame:
+    """doc, digest, n (shingles), sig (16 bits a place) and bands of each row (doc, digest, text); the last two null without words."""
+    kind = rows.schema["doc"].dataType.simpleString()
 
     def make():
         known = WordHashes()
@@ -137,7 +144,7 @@ def sketch(docs: DataFrame, text: str, key: str) -> DataFrame:
             full = [len(e) > 0 for e, _ in bags]
             return {
                 "doc": b["doc"],
-                "digest": [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in b["text"]],
+                "digest": b["digest"],
                 "n": [int(c.sum()) for _, c in bags],
                 "sig": [small[i].tobytes() if f else None for i, f in enumerate(full)],
                 "bands": [bands[i].tolist() if f else None for i, f in enumerate(full)],
@@ -145,7 +152,34 @@ def sketch(docs: DataFrame, text: str, key: str) -> DataFrame:
 
         return work
 
-    return map_rows(docs.select(F.col(key).cast("bigint").alias("doc"), text_of(text).alias("text")), "doc bigint, digest binary, n bigint, sig binary, bands array<bigint>", make)
+    return map_rows(rows.select("doc", "digest", "text"), f"doc {kind}, digest binary, n bigint, sig binary, bands array<bigint>", make)
+
+
+BAG = "bag binary, times binary"
+
+
+def bags_of(rows: DataFrame, wanted: DataFrame, once: bool) -> DataFrame:
+    """node, bag (the hashes of its shingles) and times (how often each occurs, null if once) of the wanted nodes (node, doc, digest); `once` if no row is repeated."""
+    few = wanted.count() <= FEW
+    ids = wanted.select("node", F.col("doc").alias("_doc"), F.col("digest").alias("_digest"))
+    found = rows.join(F.broadcast(ids) if few else ids, rows["doc"].eqNullSafe(F.col("_doc")) & (rows["digest"] == F.col("_digest"))).select("node", "text")
+
+    def make():
+        known = WordHashes()
+
+        def work(b: dict[str, list]) -> dict[str, list]:
+            bags = [shingles(t, known) for t in b["text"]]
+            return {"node": b["node"], "bag": [e.astype("<u8").tobytes() for e, _ in bags], "times": [None if c.max(initial=1) == 1 else c.astype("<u4").tobytes() for _, c in bags]}
+
+        return work
+
+    made = map_rows(found, f"node bigint, {BAG}", make)
+    return made if once else made.dropDuplicates(["node"])
+
+
+def unpacked(bag: bytes, times: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    elements = np.frombuffer(bag, "<u8")
+    return elements, np.ones(len(elements), np.int64) if times is None else np.frombuffer(times, "<u4").astype(np.int64)
 
 
 def likely(sig: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray | int, least: float = LEAST) -> np.ndarray:
@@ -155,7 +189,7 @@ def likely(sig: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray | in
 
 def agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The rows (a, b) of pairs that may reach the similarity."""
-    part = lambda x: sketches.select(F.col("doc").alias(x), F.col("sig").alias(f"_s{x}"), F.col("n").alias(f"_n{x}"))
+    part = lambda x: sketches.select(F.col("node").alias(x), F.col("sig").alias(f"_s{x}"), F.col("n").alias(f"_n{x}"))
     both = pairs.join(part("a"), "a").join(part("b"), "b")
 
     def make():
@@ -169,151 +203,227 @@ def agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return map_rows(both.select("a", "b", "_sa", "_sb", "_na", "_nb"), "a bigint, b bigint", make, 4096)
 
 
-def across(buckets: DataFrame, sketches: DataFrame, labels: DataFrame, every: bool) -> DataFrame:
-    """Likely pairs (a, b) of documents of one bucket and different classes: all of them, each in the first bucket that it shares; or for each document the one that agrees most.
-
-    Signatures of a bucket that still has several classes meet in a task (in blocks, if there are many), where documents outside its most frequent class are compared.
-    """
-    named = buckets.join(labels.withColumnRenamed("id", "doc"), "doc").select("band", "doc", "class")
-    mixed = named.groupBy("band").agg(F.count("*").alias("k"), F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo <> _hi")
-    mixed = mixed.select("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    rows = named.join(mixed, "band").join(sketches.select("doc", "sig", "n"), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("band", "doc", "class", "sig", "n", "block", other.alias("_o")).withColumn("part", F.least("block", "_o") * F.lit(1 << 16) + F.greatest("block", "_o"))
-    rows = rows.repartition("band", "part").sortWithinPartitions("band", "part")
-
-    def pairs_of(band: int, part: int, group: list[tuple]) -> Iterator[tuple[int, int]]:
-        doc, cls, n, block = (np.array([g[i] for g in group]) for i in (0, 1, 3, 4))
-        sig = np.frombuffer(b"".join(g[2] for g in group), "<u2").reshape(-1, PLACES)
-        values, counts = np.unique(cls, return_counts=True)
-        if len(values) == 1:
-            return
-        at = bands_of(sig[:1])[0].tolist().index(band)
-        apart = (part >> 16) != (part & 0xFFFF)
-        for i in np.flatnonzero(cls != values[counts.argmax()]):
-            y = np.flatnonzero((cls != cls[i]) & ((block != block[i]) if apart else True))
-            y = y[likely(sig[i], n[i], sig[y], n[y])]
-            if not len(y):
-                continue
-            if every:
-                shared = (sig[i] == sig[y])[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2)
-                y = y[shared.argmax(axis=1) == at]
-            else:
-                y = y[[(sig[i] == sig[y]).sum(axis=1).argmax()]]
-            yield from ((max(int(doc[i]), int(doc[j])), min(int(doc[i]), int(doc[j]))) for j in y)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def flush(at: tuple | None, group: list[tuple]) -> pa.RecordBatch:
-            found = list(pairs_of(*at, group)) if at and len(group) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], schema=schema)
-
-        at, group = None, []
-        for batch in batches:
-            for band, part, *row in zip(*(batch.column(c).to_pylist() for c in ("band", "part", "doc", "class", "sig", "n", "block")), strict=True):
-                if (band, part) != at:
-                    yield flush(at, group)
-                    at, group = (band, part), []
-                group.append(tuple(row))
-        yield flush(at, group)
-
-    return rows.select("band", "part", "doc", "class", "sig", "n", "block").mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, text: str, key: str, least: float = LEAST) -> DataFrame:
-    """The rows (a, b) of distinct pairs whose multisets overlap enough. Texts go to where their pair's second text is; one with many partners goes to several tasks."""
-    pairs = cut(pairs)
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    texts = docs.select(F.col(key).cast("bigint").alias("id"), text_of(text).alias("_text"))
-    n = ids.count()
-    texts = texts.join(F.broadcast(ids) if n <= FEW else ids, "id", "left_semi")
-    fan = pairs.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("fan"))
-    dealt = pairs.join(fan, "b").select(F.col("a").alias("id"), F.col("b").alias("with"), F.pmod(F.xxhash64("a"), F.col("fan")).cast("int").alias("part"), F.lit(1).alias("role"))
-    hubs = dealt.select(F.col("with").alias("id"), "with", "part", F.lit(0).alias("role")).distinct()
-    rows = dealt.unionByName(hubs).join(texts, "id")
+def confirmed(pairs: DataFrame, bags: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows (a, b) of distinct pairs whose multisets overlap enough; each a has one b. Multisets of a go to where that of b is; a b with many partners goes to several tasks."""
+    hot = pairs.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("fan")).where("fan > 1")
+    hot = hot.withColumnRenamed("b", "_b")
+    some = pairs.join(F.broadcast(hot) if hot.count() <= FEW else hot, F.col("b") == F.col("_b"), "left")
+    part = F.pmod(F.xxhash64("a"), F.coalesce("fan", F.lit(1))).cast("int").alias("part")
+    dealt = some.select(F.col("a").alias("node"), F.col("b").alias("with"), part, F.lit(1).alias("role"))
+    hubs = dealt.select(F.col("with").alias("node"), "with", "part", F.lit(0).alias("role")).distinct()
+    rows = dealt.unionByName(hubs).join(bags, "node")
     rows = rows.repartition("with", "part").sortWithinPartitions("with", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, at, bag = WordHashes(), None, None
+        at, bag = None, None
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
             out: dict[str, list] = {"a": [], "b": []}
-            for i, hub, role, t in zip(*(batch.column(c) for c in ("id", "with", "role", "_text")), strict=True):
-                i, hub, own = i.as_py(), hub.as_py(), shingles(t.as_py(), known)
+            for i, hub, role, e, times in zip(*(batch.column(c) for c in ("node", "with", "role", "bag", "times")), strict=True):
+                i, hub, own = i.as_py(), hub.as_py(), unpacked(e.as_py(), times.as_py())
                 if not role.as_py():
                     at, bag = hub, own
                 elif at == hub and similarity(own, bag) >= least:
                     out["a"].append(i)
                     out["b"].append(hub)
             yield pa.RecordBatch.from_pydict(out, schema)
+        release()
+
+    return rows.select("node", "with", "role", "bag", "times").mapInArrow(run, "a bigint, b bigint")
+
+
+def dealt(buckets: DataFrame, labels: DataFrame, inside: bool) -> DataFrame:
+    """The rows (band, node, n) of buckets that still have several classes, dealt to tasks (band, o, q).
+
+    inside: each row once, to its block q. Else, for buckets of several blocks: the texts outside the bucket's most frequent class are probes, which are cut into blocks o
+    of their own; each block of probes meets each block of texts. With k texts and p probes that are about 2 k p / BLOCK rows, near 2 k as long as few texts are outside.
+    """
+    named = buckets.join(labels, "node")
+    sizes = named.groupBy("band", "class").agg(F.count("*").alias("k"), F.sum("n").alias("m"))
+    sizes = sizes.groupBy("band").agg(F.sum("k").alias("k"), F.sum("m").alias("m"), F.count("*").alias("classes"), F.max(F.struct("k", "m", "class")).alias("main")).where("classes > 1")
+    blocks = lambda k, m: F.ceil(F.greatest(k / BLOCK, m / BLOCK_SHINGLES, F.lit(1))).cast("int")
+    sizes = sizes.select("band", F.col("main.class").alias("main"), blocks(F.col("k"), F.col("m")).alias("blocks"), blocks(F.col("k") - F.col("main.k"), F.col("m") - F.col("main.m")).alias("probes"))
+    rows = named.join(sizes if inside else sizes.where("blocks > 1"), "band")
+    rows = rows.select("band", "node", "n", "class", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), (F.col("class") != F.col("main")).alias("outside"), "blocks", "probes")
+    if inside:
+        return rows.select("band", F.lit(0).alias("o"), F.col("block").alias("q"), "node", "n", "class", "block", "outside", F.lit(False).alias("probe"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    members = rows.select("band", upto("probes").alias("o"), F.col("block").alias("q"), "node", "n", "class", "block", "outside", F.lit(False).alias("probe"))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("probes")).cast("int")
+    probes = rows.where("outside").select("band", own.alias("o"), upto("blocks").alias("q"), "node", "n", "class", "block", "outside", F.lit(True).alias("probe"))
+    return members.unionByName(probes)
+
+
+class Group:
+    """The texts that meet in a task, and which of them may be linked across classes: each pair in the first of the buckets that it shares, in one task."""
+
+    def __init__(self, band: int, rows: list[tuple], inside: bool) -> None:
+        self.node, self.n, self.cls, self.block, self.outside, self.probe = (np.array([r[i] for r in rows]) for i in range(6))
+        self.sig = np.frombuffer(b"".join(r[6] for r in rows), "<u2").reshape(-1, PLACES)
+        self.bags = [(r[7], r[8]) for r in rows] if len(rows[0]) > 7 else []
+        self.band, self.inside = band, inside
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """A text, and those of other classes that may reach the similarity with it, the most alike first."""
+        values, counts = np.unique(self.cls, return_counts=True)
+        if len(values) == 1:
+            return
+        at = bands_of(self.sig[:1])[0].tolist().index(self.band)
+        order = np.arange(len(self.node))
+        first = self.cls != values[counts.argmax()] if self.inside else self.probe
+        for i in np.flatnonzero(first):
+            may = ~first | (order > i) if self.inside else ~self.probe & (self.block != self.block[i]) & (~self.outside | (self.node < self.node[i]))
+            y = np.flatnonzero(may & (self.cls != self.cls[i]))
+            y = y[np.minimum(self.n[i], self.n[y]) >= LEAST * np.maximum(self.n[i], self.n[y])]
+            same = self.sig[i] == self.sig[y]
+            agree = same.mean(axis=1)
+            keep = (agree >= AGREE) & (same[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == at)
+            y = y[keep][np.argsort(-agree[keep], kind="stable")]
+            if len(y):
+                yield i, y
+
+    def flagged(self) -> list[int]:
+        found: set[int] = set()
+        for i, y in self.candidates():
+            found.update([int(self.node[i]), *self.node[y].tolist()])
+        return sorted(found)
+
+    def links(self) -> list[tuple[int, int]]:
+        """The links that join two classes: a forest, so fewer than texts."""
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                root[c] = c = root.get(root[c], root[c])
+            return c
+
+        found = []
+        for i, y in self.candidates():
+            own = unpacked(*self.bags[i])
+            for j in y.tolist():
+                x, z = find(int(self.cls[i])), find(int(self.cls[j]))
+                if x != z and similarity(own, unpacked(*self.bags[j])) >= LEAST:
+                    root[max(x, z)] = min(x, z)
+                    found.append((int(self.node[i]), int(self.node[j])))
+        return found
+
 
-    return rows.select("id", "with", "role", "_text").mapInArrow(run, "a bigint, b bigint")
+def by_group(rows: DataFrame, columns: list[str], inside: bool, schema: str, work: Callable[[tuple, Group], list[tuple]]) -> DataFrame:
+    """work's rows for each (band, o, q)."""
+    rows = rows.select("band", "o", "q", *columns).repartition("band", "o", "q").sortWithinPartitions("band", "o", "q")
+    arrow = pa.schema([(c.split(" ")[0], pa.int64() if c.endswith("bigint") else pa.int32()) for c in schema.split(", ")])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            found = work(at, Group(at[0], group, inside)) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
-def components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (id, class) after links (a, b) join classes: each class points to the least it is linked with, pointers are followed to their end, and again until no link is between classes."""
-    one, two = labels.select(F.col("id").alias("a"), F.col("class").alias("x")), labels.select(F.col("id").alias("b"), F.col("class").alias("y"))
-    edges = cut(links.join(one, "a").join(two, "b").where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+        at, group = None, []
+        for batch in batches:
+            for band, o, q, *row in zip(*(batch.column(c).to_pylist() for c in ("band", "o", "q", *columns)), strict=True):
+                if (band, o, q) != at:
+                    yield flush()
+                    at, group = (band, o, q), []
+                group.append(tuple(row))
+        yield flush()
+        group.clear()
+        release()
+
+    return rows.mapInArrow(run, schema)
+
+
+def joining(buckets: DataFrame, sketches: DataFrame, labels: DataFrame, rows: DataFrame, bags: list[DataFrame], once: bool, inside: bool, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Confirmed links (a, b) between classes, no more than texts in each bucket's tasks. Only texts that may have a link are read again; their multisets are added to bags."""
+    columns = ["node", "n", "class", "block", "outside", "probe", "sig"]
+    rest = dealt(buckets, labels, inside).join(sketches.select("node", "sig"), "node")
+    flagged = keep(by_group(rest, columns, inside, "band bigint, o int, q int, node bigint", lambda at, group: [(*at, x) for x in group.flagged()]))
+    wanted = flagged.select("node").distinct()
+    for b in bags:
+        wanted = wanted.join(b.select("node"), "node", "left_anti")
+    wanted = keep(sketches.select("node", "doc", "digest").join(wanted, "node"))
+    if not wanted.isEmpty():
+        bags.append(keep(bags_of(rows, wanted, once)))
+    every = bags[0]
+    for b in bags[1:]:
+        every = every.unionByName(b)
+    met = rest.join(flagged, ["band", "o", "q", "node"]).join(every, "node")
+    return by_group(met, [*columns, "bag", "times"], inside, "a bigint, b bigint", lambda at, group: group.links())
+
+
+def components(labels: DataFrame, links: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """labels (node, class) after links (a, b) join classes: each class points to the least it is linked with, pointers are followed to their end, and again until no link is between classes."""
+    one, two = labels.select(F.col("node").alias("a"), F.col("class").alias("x")), labels.select(F.col("node").alias("b"), F.col("class").alias("y"))
+    edges = keep(links.join(one, "a").join(two, "b").where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
     while not edges.isEmpty():
-        to = cut(edges.groupBy("x").agg(F.min("y").alias("y")))
+        to = keep(edges.groupBy("x").agg(F.min("y").alias("y")))
         while True:  # followed pointers get shorter by half each time
             on = to.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            new = cut(to.join(on, "y", "left").select("x", F.coalesce("z", "y").alias("y"), F.col("z").isNotNull().alias("moved")))
+            new = keep(to.join(on, "y", "left").select("x", F.coalesce("z", "y").alias("y"), F.col("z").isNotNull().alias("moved")))
             to = new.drop("moved")
             if new.where("moved").isEmpty():
                 break
         ends = to.select(F.col("x").alias("class"), F.col("y").alias("end"))
-        labels = cut(labels.join(ends, "class", "left").select("id", F.coalesce("end", "class").alias("class")))
+        labels = keep(labels.join(ends, "class", "left").select("node", F.coalesce("end", "class").alias("class")))
         tx, ty = to.select("x", F.col("y").alias("_x")), to.select(F.col("x").alias("y"), F.col("y").alias("_y"))
         edges = edges.join(tx, "x", "left").join(ty, "y", "left").select(F.coalesce("_x", "x").alias("x"), F.coalesce("_y", "y").alias("y"))
-        edges = cut(edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+        edges = keep(edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
     return labels
 
 
+def grouped(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """doc, digest, class_id and kept (whether the row, or one like it, stands for its class) of each row."""
+    rows = docs.select(docs[key].alias("doc"), text_of(text).alias("text")).withColumn("digest", digest_of(F.col("text")))
+    with tables(docs.sparkSession) as keep:
+        sketches = keep(sketch(rows))
+        each = sketches.groupBy("digest", "doc").agg(F.count("*").alias("c"))
+        texts = keep(each.groupBy("digest").agg(F.min("doc").alias("first"), F.sum("c").alias("copies"), F.max("c").alias("times")))
+        total, once = max(1, sketches.count()), texts.where("times > 1").isEmpty()
+        firsts = texts.select(F.col("digest").alias("_digest"), "first")
+        distinct = sketches.where("bands is not null").join(firsts, (F.col("digest") == F.col("_digest")) & F.col("doc").eqNullSafe(F.col("first")), "left_semi")
+        distinct = keep((distinct if once else distinct.dropDuplicates(["digest"])).withColumn("node", F.monotonically_increasing_id()))
+        buckets = distinct.select("node", "n", F.explode("bands").alias("band"))
+        heads = keep(buckets.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("k")).where("k > 1"))
+        shared = keep(attach(buckets, heads, "band", "k", max(1, distinct.count() * BANDS), ["node"], BANDS * 1000).where("head is not null"))
+        edges = shared.where("node <> head").groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("bands"))
+        nearest = edges.groupBy("a").agg(F.min_by("b", F.struct(-F.col("bands"), F.col("b"))).alias("b"))
+        checked = keep(agreeing(nearest, distinct))
+        wanted = keep(distinct.select("node", "doc", "digest").join(checked.select(F.col("a").alias("node")).union(checked.select("b")).distinct(), "node"))
+        bags = [keep(bags_of(rows, wanted, once))]
+        labels = distinct.select("node", F.col("node").alias("class"))
+        labels = components(labels, keep(confirmed(checked, bags[0])), keep)
+        for inside in (True, False):
+            links = keep(joining(shared.select("band", "node", "n"), distinct, labels, rows, bags, once, inside, keep))
+            labels = components(labels, links, keep)
+        named = labels.join(distinct.select("node", "doc", "digest"), "node")
+        of_class = named.groupBy("class").agg(F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "digest"))).alias("one"), F.min(F.struct("doc", "digest")).alias("other"), F.count("*").alias("k"))
+        of_class = keep(of_class.select("class", "k", F.coalesce("one", "other").alias("stands")))
+        named = attach(named, of_class, "class", "k", max(1, distinct.count()), ["node"]).select(F.col("digest").alias("_digest"), "stands")
+        named = texts.join(named, F.col("digest") == F.col("_digest"), "left").select(F.hex("digest").alias("digest"), "copies", F.coalesce("stands.doc", "first").alias("class_id"), F.hex(F.coalesce("stands.digest", "digest")).alias("stands"))
+        found = attach(sketches.select("doc", F.hex("digest").alias("digest")), keep(named), "digest", "copies", total, ["doc"])
+        return cut(found.select("doc", F.unhex("digest").alias("digest"), "class_id", (F.col("doc").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("stands"))).alias("kept")))
+
+
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and class_id of each row: the least id of all that it is linked with, directly or through others, by equal texts or a similarity of 0.8 or more.
 
-    Texts without words, null ones among them (a null text is empty), are linked with equal texts only. Rows with the same id are one class; a null id never links and
-    has a null class unless an equal text has an id. Repeated rows stay, other columns are dropped, an empty table gives an empty one.
+    Texts without words, null ones among them (a null text is empty), are linked with equal texts only. Rows are told apart by id and text: those with one id and different
+    texts are linked only as their texts are. A row with a null id is linked like any other; a class without any id has a null class_id. Ids are of any type that has an
+    order. Repeated rows stay, other columns are dropped, an empty table gives an empty one.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    sketches = cut(sketch(docs, text, key))
-    texts = cut(sketches.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")))
-    total = max(1, sketches.count())
-    firsts = texts.where("first is not null").select(F.col("first").alias("doc"), "digest")
-    distinct = cut(sketches.where("bands is not null").join(firsts, ["doc", "digest"], "left_semi").dropDuplicates(["doc"]))
-    buckets = distinct.select("doc", F.explode("bands").alias("band"))
-    heads = cut(buckets.groupBy("band").agg(F.min("doc").alias("head"), F.count("*").alias("n")).where("n > 1"))
-    shared = cut(attach(buckets, heads, "band", "n", max(1, distinct.count() * BANDS), ["doc"], BANDS * 1000).where("head is not null"))
-    edges = shared.where("doc <> head").groupBy(F.col("doc").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("bands"))
-    nearest = edges.groupBy("a").agg(F.min_by("b", F.struct(-F.col("bands"), F.col("b"))).alias("b"))
-    labels = distinct.select(F.col("doc").alias("id"), F.col("doc").alias("class"))
-    checked = cut(agreeing(nearest, distinct))
-    labels = components(labels, cut(confirmed(checked, docs, text, key)))
-    every = False
-    while True:
-        pairs = cut(across(shared.select("band", "doc"), distinct, labels, every).join(checked, ["a", "b"], "left_anti"))
-        links = None if pairs.isEmpty() else cut(confirmed(pairs, docs, text, key))
-        if every:
-            labels = labels if links is None else components(labels, links)
-            break
-        if links is None or links.isEmpty():
-            every = True
-            continue
-        labels, checked = components(labels, links), checked.unionByName(pairs)
-    named = texts.join(labels.select(F.col("id").alias("first"), "class"), "first", "left").select("digest", "n", F.coalesce("class", "first").alias("class_id"))
-    found = attach(sketches.select("doc", F.hex("digest").alias("digest")), cut(named.withColumn("digest", F.hex("digest"))), "digest", "n", total, ["doc"])
-    return found.select(F.col("doc").cast(kind).alias(key), F.col("class_id").cast(kind).alias("class_id"))
+    return grouped(docs, text, key).select(F.col("doc").alias(key), "class_id")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs, with all columns, that stand for their class: the one with the least id, of repeated rows one. Rows with a null id stay."""
-    found = cut(classes(docs, text, key))
-    gone = cut(found.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_gone")).distinct())
-    kept = docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, F.col(key) == F.col("_gone"), "left_anti")
-    again = cut(found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_again")).count().where("count > 1").select("_again"))
+    """The rows of docs, with all columns, that stand for their class: the one with the least id (of several texts with that id that with the least digest; a null id only if no other has one), of repeated rows one."""
+    found = grouped(docs, text, key)
+    gone = cut(found.where("not kept").select(F.col("doc").alias("__gone"), F.col("digest").alias("__gone_digest")).distinct())
+    few = gone.count() <= FEW
+    same = docs[key].eqNullSafe(F.col("__gone")) & (digest_of(text_of(text)) == F.col("__gone_digest"))
+    left = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    again = cut(found.where("kept").groupBy("doc", "digest").count().where("count > 1").select(F.col("doc").alias("__again"), F.col("digest").alias("__again_digest")))
     if again.isEmpty():
-        return kept
-    several = kept.join(again, F.col(key) == F.col("_again"), "left_semi").dropDuplicates([key])
-    return kept.join(again, F.col(key) == F.col("_again"), "left_anti").unionByName(several)
+        return left
+    left = left.withColumn("__digest", digest_of(text_of(text)))
+    same = F.col(key).eqNullSafe(F.col("__again")) & (F.col("__digest") == F.col("__again_digest"))
+    several = left.join(again, same, "left_semi").dropDuplicates([key, "__digest"])
+    return left.join(again, same, "left_anti").unionByName(several).drop("__digest")

@@ -124,6 +124,39 @@ def test_near_duplicates_with_null_ids(spark):
     assert Counter(r.class_id for r in neardup.classes(rows).collect()) == Counter({3: 2, None: 1})
 
 
+def test_near_duplicates_over_many_blocks(spark, sf, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "FEW", 0)
+    monkeypatch.setattr(neardup, "TOGETHER", 3)
+    rng = random.Random(2)
+    base = " ".join(" ".join(r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(3).collect()).split()[:200])
+    texts = [edited(base, rng, s) for s in (0.01, 0.02, 0.03, 0.04, 0.05, 0.06) for _ in range(20)]
+    ids = list(range(len(texts)))
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs(spark, texts)).collect()}
+    assert got == brute_classes(texts, ids) and 1 < len(set(got.values())) < len(texts)
+
+
+def test_near_duplicates_with_string_ids_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([("b", text, 1), ("a", text + " more", 2), ("a", "quite another text than that", 3), ("a", "quite another text than that", 4)], "doc_id string, text string, class_id int")
+    assert Counter((r.doc_id, r.class_id) for r in neardup.classes(rows).collect()) == Counter({("b", "a"): 1, ("a", "a"): 3})
+    left = neardup.deduplicate(rows)
+    assert left.columns == rows.columns and sorted(r.text[:5] for r in left.collect()) == ["quite", "w0 w1"]
+
+
+def test_near_duplicates_of_a_whole_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.class_id for r in neardup.classes(rows).collect()}
+    known = neardup.WordHashes()
+    bags = [(r.doc_id, *neardup.shingles(r.text or "", known)) for r in rows.collect()]
+    bags = sorted((b for b in bags if len(b[1])), key=lambda b: int(b[2].sum()))
+    sizes = np.array([int(b[2].sum()) for b in bags])
+    linked = [(a[0], b[0]) for i, a in enumerate(bags) for b in bags[i + 1 : np.searchsorted(sizes, sizes[i] / neardup.LEAST, "right")] if neardup.similarity(a[1:], b[1:]) >= neardup.LEAST]
+    assert len(linked) > 100 and all(got[a] == got[b] for a, b in linked)
+    joined = {a for a, _ in linked} | {b for _, b in linked}
+    assert all(got[b[0]] == b[0] for b in bags if b[0] not in joined)
+
+
 # 3 sharding
 def test_sharding_law(spark, edge, empty):
     texts = [("w " * random.Random(i).randint(1, 300)) for i in range(900)]
@@ -214,7 +247,7 @@ def test_bpe_equals_the_library(spark, edge, empty):
 
     library, mine = Tokenizer.from_file(tokenizer_path()), bpe.Encoder(tokenizer_path())
     rng = random.Random(3)
-    parts = ["a", "B", "\n", " ", "\t", "é", " ", "\x1c", "\x85", "　", "'s", "'re", ".", "!", "12", "<|endoftext|>", "\r", "中", "᠎", "\U0001f600", "q" * 60, "\x00"]
+    parts = ["a", "B", "\n", " ", "\t", "é", " ", "\x1c", "\x85", "　", "'s", "'re", "'", "l", "e", "!'", ".", "!", "12", "<|endoftext|>", "\r", "中", "᠎", "\U0001f600", "q" * 60, "\x00"]
     for _ in range(4000):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         want = library.encode(t, add_special_tokens=False).ids
@@ -228,7 +261,21 @@ def test_bpe_equals_the_library(spark, edge, empty):
 
 def test_forced_boundaries_lie_inside_no_token():
     v = bpe.Vocabulary(tokenizer_path())
-    assert not v.inside[ord("e"), ord(" ")] and v.inside[ord("t"), ord("h")] and not v.certain(" ", "\n") and v.certain("a", " ")
+    assert v.certain[ord("e"), ord(" ")] and not v.certain[ord("t"), ord("h")] and not v.certain[ord(" "), ord("\n")] and not v.certain[ord("'"), ord("s")] and v.certain[ord("e"), ord(",")]
+    for token in v.bytes:
+        a = np.frombuffer(token, np.uint8)
+        assert token.startswith(b"<|") or not v.certain[a[:-1], a[1:]].any()
+
+
+def test_long_texts_are_cut_and_encoded_in_parts(monkeypatch):
+    monkeypatch.setattr(bpe, "STRETCH", 64)
+    monkeypatch.setattr(bpe, "BLOCK", 3)
+    monkeypatch.setattr(bpe, "REMEMBERED", 2000)
+    mine, whole = bpe.Encoder(tokenizer_path()), bpe.Encoder(tokenizer_path())
+    rng = random.Random(4)
+    text = "".join(rng.choice(["word ", "it's, ", "x" * 90, "\n\n", "1234", "é'", "!!'re"]) for _ in range(400))
+    ids = np.frombuffer(mine.encode(text), "<u4").tolist()
+    assert ids == whole.by_library(text) and mine.held < 5000
 
 
 # 6 language model
