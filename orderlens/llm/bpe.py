@@ -1,8 +1,10 @@
 """Byte-level BPE by forced boundaries.
 
-A pair of neighbouring bytes that lies inside no vocabulary token can never be merged across, so a cut between the two is certain. Where such a cut also falls
-between a visible character and white space, the vocabulary's pre-tokeniser breaks there as well, whatever stands around it. Texts are cut at those places, each
-fragment is encoded by itself (once for each distinct fragment that a worker still remembers) and the ids are concatenated.
+A pair of neighbouring bytes that lies inside no vocabulary token can never be merged across, so a cut between two characters whose last and first byte are such a pair is
+certain, with two exceptions that are never taken, because the vocabulary's pre-tokeniser would see another text: a cut behind white space (a run of it is split by what
+follows) and a cut beside an apostrophe (which may begin a contraction). Everywhere else the pre-tokeniser's pieces are the same on both sides of the cut as in the whole
+text, or a piece of letters, digits or signs is cut where nothing merges. Texts are cut at all those places, each fragment is encoded by itself (once for each distinct
+fragment that a worker still remembers) and the ids are concatenated.
 """
 
 from __future__ import annotations
@@ -11,19 +13,22 @@ import json
 import re
 import struct
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_rows, text_of
 
-#: Fragments that a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 400_000, 48
-#: Fragments that are held at once, so that a text of any length is encoded in bounded memory.
-BLOCK = 65_536
+#: Bytes of fragments that a worker remembers (each counted with OVERHEAD bytes more), and the longest fragment that it does.
+REMEMBERED, OVERHEAD, LONGEST = 24_000_000, 160, 48
+#: Bytes of a text that are cut at once, and fragments that are encoded at once, so that a text of any length is encoded in bounded memory.
+STRETCH, BLOCK = 1 << 20, 65_536
+#: Characters of a fragment from which on it is left to the library.
+LONG = 400
 #: Fixed value: the pattern by which the vocabulary's pre-tokeniser finds pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Last bytes of white space in UTF-8, and of the apostrophe: no cut behind them. Some other characters end with such a byte too, which only costs a cut.
+KEEP_BEHIND = frozenset([*range(0x09, 0x0E), *range(0x1C, 0x21), *range(0x80, 0x8B), 0x8E, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF, 0x27])
 
 
 def byte_letters() -> dict[str, int]:
@@ -35,7 +40,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """The bytes of each id, the special strings, and which byte pairs lie inside a token."""
+    """The bytes of each id, the special strings, and between which byte pairs a cut is certain."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -50,70 +55,78 @@ class Vocabulary:
         made = [vocab["".join(m)] for m in merges]
         #: Whether ids grow with the order of merges, so that ids serve as merge ranks.
         self.ranked = len(made) + 256 == len(spec["model"]["vocab"]) and all(a < b for a, b in zip(made, made[1:], strict=False)) and not spec["normalizer"]
-        self.inside = np.zeros((256, 256), bool)
+        inside = np.zeros((256, 256), bool)
         for token, i in vocab.items():
             if token not in self.special and len(b := self.bytes[i]) > 1:
                 a = np.frombuffer(b, np.uint8)
-                self.inside[a[:-1], a[1:]] = True
-
-    def certain(self, left: str, right: str) -> bool:
-        """Whether a cut between two characters is certain."""
-        return not left.isspace() and left != "᠎" and right in " \n" and not self.inside[left.encode("utf-8", "surrogatepass")[-1], ord(right)]
+                inside[a[:-1], a[1:]] = True
+        #: Whether a cut between two bytes is certain; never inside a character.
+        self.certain = ~inside
+        self.certain[sorted(KEEP_BEHIND)] = False
+        self.certain[:, 0x27] = False
+        self.certain[:, 0x80:0xC0] = False
 
 
 class Encoder:
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.vocabulary = Vocabulary(path)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path, self.vocabulary, self.made = path, Vocabulary(path), None
         self.merge = self.by_rank() if self.vocabulary.ranked else self.by_library
-        self.known: dict[str, bytes] = {}
-        inside = self.vocabulary.inside
-        joined = {b for b in range(256) if inside[b, 0x20] or inside[b, 0x0A]} - {0x20, 0x0A}
-        risks = "".join(re.escape(chr(c)) for c in range(0x10000) if (c if c < 128 else c & 63 | 128) in joined and not 0xD800 <= c < 0xE000)
-        self.risky = re.compile(rf"(?:[^\S \n]|[᠎\U00010000-\U0010ffff{risks}])[ \n]")
-        self.plain = re.compile(r"[ \n]+[^ \n]*|[^ \n]+")
+        self.known: dict[bytes, bytes] = {}
+        self.held = 0
         self.special = re.compile("(" + "|".join(map(re.escape, self.vocabulary.special)) + ")") if self.vocabulary.special else None
 
     def by_library(self, fragment: str) -> list[int]:
-        return self.library.encode(fragment, add_special_tokens=False).ids
+        if self.made is None:  # few texts need it
+            from tokenizers import Tokenizer
+
+            self.made = Tokenizer.from_file(self.path)
+            self.made.no_truncation()
+            self.made.no_padding()
+        return self.made.encode(fragment, add_special_tokens=False).ids
 
     def by_rank(self):
         """The same ids by merge ranks, with less work for each call; long fragments still go to the library."""
         import tiktoken
 
-        ranks = {b: i for i, b in enumerate(self.vocabulary.bytes) if i not in self.vocabulary.special.values()}
+        special = set(self.vocabulary.special.values())
+        ranks = {b: i for i, b in enumerate(self.vocabulary.bytes) if i not in special}
         ordinary = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        return lambda f: ordinary(f) if len(f) <= 400 else self.by_library(f)
-
-    def fragments(self, text: str) -> Iterator[str]:
-        if not self.risky.search(text):
-            yield from (m.group() for m in self.plain.finditer(text))
-            return
-        start = 0
-        for m in re.finditer(r"[ \n]+", text):
-            if m.start() > start and self.vocabulary.certain(text[m.start() - 1], text[m.start()]):
-                yield text[start : m.start()]
-                start = m.start()
-        yield text[start:]
-
-    def encode_fragments(self, fragments: list[str]) -> bytes:
+        return lambda f: ordinary(f) if len(f) <= LONG else self.by_library(f)
+
+    def fragments(self, raw: bytes) -> Iterator[list[bytes]]:
+        """The text's bytes, cut at all certain places, in lists of at most BLOCK fragments."""
+        start, size = 0, STRETCH
+        while start < len(raw):
+            part = np.frombuffer(raw, np.uint8, min(size, len(raw) - start), start)
+            cuts = (np.flatnonzero(self.vocabulary.certain[part[:-1], part[1:]]) + start + 1).tolist()
+            if start + size >= len(raw):
+                cuts.append(len(raw))
+            elif not cuts:  # one fragment is longer
+                size *= 2
+                continue
+            for at in range(0, len(cuts), BLOCK):
+                ends = cuts[at : at + BLOCK]
+                yield [raw[a:b] for a, b in zip([start, *ends], ends, strict=False)]
+                start = ends[-1]
+            size = STRETCH
+
+    def encode_fragments(self, fragments: list[bytes]) -> bytes:
         known = self.known
         missing = [f for f in set(fragments) if f not in known]
         if missing:
-            if len(known) > REMEMBERED:
+            if self.held > REMEMBERED:
                 known.clear()
+                self.held = 0
                 missing = list(set(fragments))
             for f in missing:
-                ids = self.merge(f)
+                ids = self.merge(f.decode("utf-8", "surrogatepass"))
                 known[f] = struct.pack(f"<{len(ids)}I", *ids)
         out = b"".join([known[f] for f in fragments])
         for f in missing:
             if len(f) > LONGEST:
                 del known[f]
+            else:
+                self.held += OVERHEAD + len(f) + len(known[f])
         return out
 
     def encode(self, text: str) -> bytes:
@@ -124,9 +137,7 @@ class Encoder:
             if part in self.vocabulary.special:
                 out.append(struct.pack("<I", self.vocabulary.special[part]))
             elif part:
-                every = self.fragments(part)
-                while block := list(islice(every, BLOCK)):
-                    out.append(self.encode_fragments(block))
+                out += [self.encode_fragments(some) for some in self.fragments(part.encode("utf-8", "surrogatepass"))]
         return b"".join(out)
 
 
@@ -137,7 +148,7 @@ def decode_ids(table: list[bytes], ids: bytes) -> str:
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """key, the columns to keep, and ids (binary: little-endian unsigned 32-bit integers) of every whole text.
 
-    A null or empty text has no ids. Special strings in a text become their ids. Repeated rows stay, other columns are dropped, an empty table gives an empty one.
+    A null or empty text has no ids. Special strings in a text become their ids. Null ids and repeated rows stay, other columns are dropped, an empty table gives an empty one.
     """
     keep = keep or []
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep))
@@ -154,7 +165,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", key: str = "doc_id")
     kind = encoded.schema[key].dataType.simpleString()
 
     def make():
-        table = Vocabulary(path).bytes
+        table = Vocabulary(path).bytes  # the rest of it goes
         return lambda b: {"key": b["key"], "ids": b["ids"], "decoded": [decode_ids(table, x or b"") for x in b["ids"]]}
 
     return map_rows(encoded.select(encoded[key].alias("key"), encoded[ids].alias("ids")), f"key {kind}, ids binary, decoded string", make).withColumnRenamed("key", key)
