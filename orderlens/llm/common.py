@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from uuid import uuid4
@@ -107,6 +108,31 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str,
     return df.mapInArrow(run, schema)
 
 
+def counted(texts: DataFrame, items: Callable[[str], list[bytes]], held: int = 300_000) -> DataFrame:
+    """word (binary) and c, how often items() gives it over all rows of texts (text). Tasks count what they read, at most `held` words at once, before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
+        seen: Counter = Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            words, counts = list(seen.keys()), list(seen.values())
+            for i in range(0, len(words), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 20_000], pa.binary()), pa.array(counts[i : i + 20_000], pa.int64())], schema=schema)
+
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(items(text.as_py()))
+                if len(seen) > held:
+                    yield from out()
+                    seen.clear()
+        yield from out()
+        seen.clear()
+        release()
+
+    return texts.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, spread: list[str], share: int = 1000) -> DataFrame:
     """rows left-joined with groups (a row for each key, which has `count` of the rows) on key, with no key's rows meeting in one task.
 

@@ -80,8 +80,9 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The secrets of every document."""
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    """The secrets of every document; common words are learned from all documents."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, ranks=secrets.learn_ranks(docs))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"] != "guess")

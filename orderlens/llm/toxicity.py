@@ -14,19 +14,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_rows, text_of
+from .common import cut, fold, map_rows, text_of
 
 #: The most labelled documents that the model learns from, of each label: those with the least hash of their id.
 SAMPLE = {1: 2_000, 0: 5_000}
-#: Features known to the model: those in LEAST toxic samples or more whose log-odds between the labels are CERTAIN standard errors or more above 0, at most KNOWN.
-LEAST, CERTAIN, KNOWN = 8, 4.5, 20_000
+#: Features known to the model: those in one of SHARE toxic samples or more (LEAST[0] to LEAST[1] samples, with the number of labels) whose likelihood ratio between the labels
+#: is that of CERTAIN standard errors or more above 0, at most KNOWN.
+LEAST, SHARE, CERTAIN, KNOWN = (3, 8), 40, 3.8, 20_000
+#: Bytes of text that the sample has at most; it ends before the document that would exceed it.
+SAMPLE_BYTES = 64_000_000
 #: The share of toxic labels that nothing in the text explains. While learning, it joins the noisy-or, so that such documents do not raise every sentence's score.
 LEAK = 0.05
 #: Of a byte: itself (A-Z in lower case) in a word, a line's end where a sentence ends, else a space.
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 10 if c in b".!?\n" else 32 for c in range(256))
 SENTENCE = re.compile(r"[^.!?\n]+")
 #: Bytes in a part of a word, and distinct words whose weight a worker remembers.
-PARTS, REMEMBERED = (4, 5, 6), 400_000
+PARTS, REMEMBERED = (4, 5, 6), 100_000
 SPANS = "array<struct<start:int,end:int,score:double>>"
 
 
@@ -55,7 +58,8 @@ class Weights(dict):
             self.clear()
         marked, first, n = b"<" + word[:64] + b">", self.first, PARTS[0]
         if not any(marked[i : i + n] in first for i in range(max(1, len(marked) - n + 1))):
-            self[word] = 0.0
+            if len(word) <= 64:
+                self[word] = 0.0
             return 0.0
         found = self[word] = sum(self.of_features.get(f, 0.0) for f in sorted(features(word) & self.of_features.keys()))
         return found
@@ -85,6 +89,13 @@ class Model:
         return -math.expm1(none), found
 
 
+def deviance(a: float, n1: float, c: float, n0: float) -> float:
+    """The signed root of the likelihood ratio that a feature, in a of n1 and c of n0 documents, is as frequent in both: about standard errors, also where c is 0."""
+    each = lambda x, n, p: (x * math.log(x / (n * p)) if x else 0.0) + ((n - x) * math.log((n - x) / (n * (1 - p))) if x < n else 0.0)
+    p = (a + c) / (n1 + n0)
+    return 0.0 if p == 1 else math.copysign(math.sqrt(max(0.0, 2 * (each(a, n1, p) + each(c, n0, p)))), a / n1 - c / n0)
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.3, decay: float = 2e-4) -> Model:
     """Full-batch Adam on the mean log-loss of noisy-or, both labels weighing the same; features' weights decay, the bias does not."""
     y = np.array(labels, np.float64)
@@ -96,14 +107,12 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.
         return set().union(*(features(w) for w in {w for s in sentences(text) for w in s}))
 
     seen = Counter(f for t, k in zip(texts, labels, strict=True) if k for f in of(t))
-    seen = {f: n for f, n in seen.items() if n >= LEAST}
+    seen = {f: n for f, n in seen.items() if n >= max(LEAST[0], min(LEAST[1], n1 / SHARE))}
     clean = Counter(f for t, k in zip(texts, labels, strict=True) if not k for f in of(t) & seen.keys())
-    telling = {}
-    for f in seen:
-        a, c = seen[f] + 0.5, clean[f] + 0.5
-        odds = math.log(a / (n1 - a + 1)) - math.log(c / (n0 - c + 1))
-        telling[f] = odds / math.sqrt(1 / a + 1 / (n1 - a + 1) + 1 / c + 1 / (n0 - c + 1))
+    telling = {f: deviance(seen[f], n1, clean[f], n0) for f in seen}
     words = sorted((f for f, z in telling.items() if z >= CERTAIN), key=lambda f: (-telling[f], f))[:KNOWN]
+    if not words:  # nothing tells the labels apart, so the more frequent one is all there is to say
+        return Model({}, -12.0)
     index = {f: i for i, f in enumerate(words)}
     feature, of_sentence, of_doc = [], [], []
     for d, text in enumerate(texts):
@@ -133,15 +142,24 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.
     return Model({x: float(k) for x, k in zip(words, w, strict=True) if abs(k) > 1e-3}, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: dict[int, int] | None = None) -> Model:
-    """Learns from a bounded sample of labelled documents whose fold is not 0. Of several labels for an id the largest counts; null labels and ids teach nothing."""
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: dict[int, int] | None = None, most: int = SAMPLE_BYTES) -> Model:
+    """Learns from a bounded sample of labelled documents whose fold is not 0: `sample` of each label at most, and `most` bytes of text, by the hash of their id.
+
+    Of several labels for an id the largest counts, of several texts the least; null labels and ids teach nothing.
+    """
     sample = sample or SAMPLE
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(key) != 0)).groupBy(F.col(key).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     here = docs.select(F.col(key).alias("_id")).distinct()
     known = known.join(here, "_id", "left_semi")
-    parts = [known.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(n) for k, n in sorted(sample.items())]
-    chosen = parts[0].unionByName(parts[1])
-    rows = docs.select(F.col(key).alias("_id"), text_of(text).alias("_text")).join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_label").alias("_label"))
+    known = known.withColumn("_hash", F.xxhash64("_id"))
+    parts = [known.where(F.col("_label") == k).orderBy("_hash", "_id").limit(n) for k, n in sorted(sample.items())]
+    chosen = cut(parts[0].unionByName(parts[1]))
+    each = docs.select(F.col(key).alias("_id"), text_of(text).alias("_text"))
+    size = each.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.max(F.octet_length("_text")).alias("_size"), F.first("_hash").alias("_hash")).orderBy("_hash", "_id").collect()
+    ends = np.cumsum([r["_size"] for r in size])
+    within = [r["_id"] for r in size[: int(np.searchsorted(ends, most, "right"))]]
+    chosen = chosen if len(within) == len(size) else chosen.where(F.col("_id").isin(within))
+    rows = each.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_label").alias("_label"))
     got = sorted(rows.collect(), key=lambda r: r["_id"])
     return fit([r["_text"] for r in got], [r["_label"] for r in got])
 
