@@ -300,34 +300,54 @@ def test_lm_base_and_score(spark, edge, empty):
     assert lm.score(empty).count() == 0
 
 
+def lookup_of(words, counts, known=lm.WORDS):
+    n, v = Counter(), Counter()
+    for w, c in zip(words, counts, strict=True):
+        if w != lm.END_WORD:
+            n[lm.other_class(w)] += c
+            v[lm.other_class(w)] += 1
+    return lm.Lookup(words, counts, sum(counts), len(words), dict(n), dict(v), known)
+
+
 def test_lm_is_normalised_and_learns():
-    rng = np.random.default_rng(0)
-    k = lm.SYMBOLS
-    seen = np.zeros(k**3)
-    for a in range(lm.WORDS, k):
-        for b in range(lm.WORDS, k):
-            seen[(a * k + b) * k + (b + 1 - lm.WORDS) % (k - lm.WORDS) + lm.WORDS] += rng.integers(1, 5)
-    table = lm.learn(seen, steps=300).reshape(-1, k)
-    assert np.abs((10.0**table).sum(axis=1) - 1).max() < 1e-4
-    unigram = seen.reshape(-1, k).sum(axis=0) / seen.sum()
-    hits = seen.reshape(-1, k)
-    assert (hits * np.where(hits > 0, table, 0)).sum() / seen.sum() > (unigram[unigram > 0] * np.log10(unigram[unigram > 0])).sum() + 0.3
-
-
-def test_lm_word_shares_of_a_class_sum_to_one():
-    words = [f"w{i}".encode() for i in range(300)] + [lm.END_WORD]
-    counts = list(range(400, 100, -1)) + [50]
-    class_n, class_v = Counter(), Counter()
-    for w, c in zip(words[:-1], counts, strict=False):
-        class_n[lm.class_of(w)] += c
-        class_v[lm.class_of(w)] += 1
-    at = lm.Lookup(words, counts, sum(counts), len(words), dict(class_n), dict(class_v))
-    shares = Counter()
-    for w, s, q in zip(words, at.symbols, at.within, strict=False):
-        if s < lm.CLASSES:
-            shares[int(s)] += 10**q
-    for k, total in shares.items():
-        assert total + 0.5 / 10 ** at.class_base[k] == pytest.approx(1)
+    """Words that follow each other in a ring: the chances of all words after a context sum to one, and the next word is likely."""
+    words = [f"w{i}".encode() for i in range(600)]
+    at = lookup_of([*words, lm.END_WORD], [400] * 600 + [5])
+    assert at.classes == 3
+    numbers = np.arange(60_000) * 7 % 600
+    starts = np.arange(0, 60_000, 1000)
+    learner = lm.Learner(at)
+    learner.learn(numbers, starts, 6, 2500)
+    scorer = lm.Scorer(at, learner.p)
+    for context in ([3, 10], [599, 6]):
+        every = np.array([[*context, w] for w in range(601)]).reshape(-1)
+        log = scorer.log10(every, np.arange(0, len(every), 3)).reshape(-1, 3)[:, 2]
+        other = np.array([[*context, len(at.words) + c * lm.FRONTS] for c in range(lm.OTHERS)]).reshape(-1)
+        rest = scorer.log10(other, np.arange(0, len(other), 3)).reshape(-1, 3)[:, 2]
+        assert (10**log).sum() + (10**rest).sum() == pytest.approx(1, abs=1e-4)
+    fresh = lm.Scorer(at, lm.fresh(at))
+    assert learner.steps == 2500
+    assert scorer.log10(numbers[:3000], starts[:3]).mean() > fresh.log10(numbers[:3000], starts[:3]).mean() + 0.5
+
+
+def test_lm_without_learning_is_the_smoothed_unigram():
+    words = [*(f"w{i}".encode() for i in range(900)), lm.END_WORD]
+    at = lookup_of(words, list(range(1000, 99, -1)), known=300)
+    numbers = np.arange(901)
+    log = lm.Scorer(at, lm.fresh(at)).log10(numbers, np.arange(0, 900, 100))
+    assert np.allclose(log[:900], at.base[:900], atol=1e-3)
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    """By more than 0.3 a token, and the examples and known words grow with the corpus."""
+    rows = queries.op6_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert (rows.s - rows.b) / rows.n > 0.3
+
+
+def test_lm_with_string_and_null_ids(spark):
+    rows = spark.createDataFrame([("a", "one two one"), (None, "two"), (None, None), ("b", "one")], "doc_id string, text string")
+    got = lm.score(rows, least=3).collect()
+    assert sorted((r.doc_id or "", r.n_tokens) for r in got) == [("", 1), ("", 2), ("a", 4), ("b", 2)]
 
 
 # 7 secrets
