@@ -2,21 +2,21 @@
 
 Headers are shuffled by payload digest, records whose payload another record has become revisits of it, and archives are written with fresh headers. Spark's text
 writer writes the records, with the record separator for a line's end: archives are committed as any table is, lie wherever Spark can write, and a lost executor costs a
-task. Reading follows each record's Content-Length.
+task. That writer compresses a file as one stream and puts nothing before its records, so there is no member for each record and no warcinfo. Spark's text reader reads
+them back as a stream, cut at record separators (which payloads may hold as well); each record's Content-Length says where it ends, so no task holds more than a record
+and a batch of lines.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import io
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, cut, text_of
+from .common import attach, cut, release, text_of
 
 EOL = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -60,25 +60,54 @@ def record(date: str) -> Column:
     return F.concat(head, block)
 
 
-def write(resolved: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", per_file: int = 20_000) -> None:
-    """Archives (.gz) of at most per_file records each under path."""
-    resolved.select(record(date).alias("value")).write.option("lineSep", EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
-
-
-def records(content: bytes) -> Iterator[dict]:
-    """The records of one archive, in order; what breaks the format raises."""
-    f = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)))
-    while first := f.readline():
-        if not first.startswith(b"WARC/1."):
-            raise ValueError(f"no record begins with {first[:40]!r}")
-        fields = {}
-        while (line := f.readline()).strip():
-            name, _, value = line.decode().partition(":")
-            fields[name.lower()] = value.strip()
-        block = f.read(n := int(fields["content-length"]))
-        if len(block) != n or f.read(4) != b"\r\n\r\n":
-            raise ValueError(f"record {fields.get('warc-record-id')} is cut short")
-        yield fields | {"payload": block.partition(b"\r\n\r\n")[2]}
+#: Bytes of records that an archive has in the mean, before compression.
+ARCHIVE = 256 << 20
+
+
+def write(resolved: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", per_file: int | None = None, size: int = ARCHIVE) -> None:
+    """Archives (.gz) under path of about `size` bytes, by the mean length of the records (of at most per_file records each, if that is given)."""
+    rows = resolved.select(record(date).alias("value"))
+    if per_file is None:
+        mean = resolved.agg(F.avg(F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0))).first()[0]
+        per_file = max(1, int(size / ((mean or 0) + 500)))
+    rows.write.option("lineSep", EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+
+
+class Reader:
+    """The records of a stream of bytes, in order; what breaks the format raises."""
+
+    def __init__(self) -> None:
+        self.parts: list[bytes] = []
+        self.held, self.fields, self.need = 0, None, 0
+
+    def feed(self, part: bytes) -> Iterator[dict]:
+        """The records that end with this part; parts end with a record separator."""
+        self.parts.append(part)
+        self.held += len(part)
+        if self.fields is None:  # a header ends with the first empty line, as parts do
+            head, self.parts, self.held = b"".join(self.parts), [], 0
+            if not head.startswith(b"WARC/1."):
+                raise ValueError(f"no record begins with {head[:40]!r}")
+            self.fields = {}
+            for line in head.decode().split(EOL)[1:]:
+                name, _, value = line.partition(":")
+                if name:
+                    self.fields[name.lower()] = value.strip()
+            self.need = int(self.fields["content-length"]) + 4
+            return
+        if self.held < self.need:
+            return
+        raw, fields, need = b"".join(self.parts), self.fields, self.need
+        if raw[need - 4 : need] != b"\r\n\r\n":
+            raise ValueError(f"record {fields.get('warc-record-id')} has another length than it says")
+        self.parts, self.held, self.fields = [], 0, None
+        yield fields | {"payload": raw[: need - 4].partition(b"\r\n\r\n")[2]}
+        if raw[need:] not in (b"", b"\r\n\r\n"):  # the end of a payload was taken for the begin of the separator; at a file's end only the separator that was added here is left
+            yield from self.feed(raw[need:])
+
+    def end(self) -> None:
+        if self.fields is not None or self.parts:
+            raise ValueError("the last record is cut short")
 
 
 def number(urn: str | None) -> int | None:
@@ -88,23 +117,43 @@ def number(urn: str | None) -> int | None:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record; a revisit's payload is null, its digest and length are those of the payload that it revisits. A response's digest is computed anew and must be the recorded one."""
+    names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+    types = {"bigint": pa.int64(), "string": pa.string()}
+    schema = pa.schema([(c.split(" ")[0], types[c.split(" ")[1]]) for c in SCHEMA.split(", ")])
+
+    def row(r: dict) -> dict:
+        revisit, digest = r["warc-type"] == "revisit", r["warc-payload-digest"].removeprefix("sha1:")
+        if not revisit and hashlib.sha1(r["payload"]).hexdigest() != digest:
+            raise ValueError(f"record {r['warc-record-id']} has another payload than recorded")
+        length = int(r["x-payload-length"]) if revisit else len(r["payload"])
+        return dict(zip(names, (number(r["warc-record-id"]), r.get("warc-target-uri"), r["warc-type"], digest, length, number(r.get("warc-refers-to")), None if revisit else r["payload"].decode()), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-        types = {"bigint": pa.int64(), "string": pa.string()}
-        schema = pa.schema([(c.split(" ")[0], types[c.split(" ")[1]]) for c in SCHEMA.split(", ")])
-        rows: list[dict] = []
+        reader, rows, held = Reader(), [], 0
         for batch in batches:
-            for content in batch.column(0):
-                for r in records(content.as_py()):
-                    revisit, digest = r["warc-type"] == "revisit", r["warc-payload-digest"].removeprefix("sha1:")
-                    if not revisit and hashlib.sha1(r["payload"]).hexdigest() != digest:
-                        raise ValueError(f"record {r['warc-record-id']} has another payload than recorded")
-                    length = int(r["x-payload-length"]) if revisit else len(r["payload"])
-                    rows.append(dict(zip(names, (number(r["warc-record-id"]), r.get("warc-target-uri"), r["warc-type"], digest, length, number(r.get("warc-refers-to")), None if revisit else r["payload"].decode()), strict=True)))
-                    if len(rows) == 256:
+            for line in batch.column(0):
+                for r in reader.feed(line.as_py() + b"\r\n\r\n"):
+                    rows.append(row(r))
+                    held += len(r["payload"])
+                    if len(rows) == 256 or held > 1 << 22:
                         yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
+                        rows, held = [], 0
+        reader.end()
         yield pa.RecordBatch.from_pylist(rows, schema)
+        rows.clear()
+        release()
+
+    return spark.read.option("lineSep", EOL * 2).text(path).select(F.col("value").cast("binary").alias("value")).mapInArrow(run, SCHEMA)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
+
+def with_payloads(found: DataFrame) -> DataFrame:
+    """read()'s rows in which revisits have the payload of the response that they refer to (null if that is not among the rows).
+
+    Revisits, which hold no payload, meet the responses by page and digest; of a response with very many revisits only the revisits are many, which are split by Spark's
+    skew join. Of equal responses with one page_id any is taken, as their payload is the same.
+    """
+    revisits = found.where("record_type = 'revisit'").drop("payload")
+    wanted = revisits.select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    originals = found.where("record_type = 'response'").join(wanted, ["page_id", "payload_digest"], "left_semi").groupBy(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest")).agg(F.first("payload").alias("payload"))
+    filled = revisits.join(originals, (F.col("refers_to") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    return found.where("record_type = 'response'").unionByName(filled.select(*found.columns))

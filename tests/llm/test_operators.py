@@ -453,6 +453,23 @@ def test_warc_keeps_payloads(spark, tmp_path):
     assert got[2].payload == tricky and got[0].payload is None and got[0].payload_bytes == 1500 and got[0].payload_digest == hashlib.sha1(big.encode()).hexdigest()
 
 
+def test_warc_payloads_of_separators_come_back_whole(spark, tmp_path):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["\r", "\n", "\r\n", "\r\n\r\n", "a", "é", "WARC/1.1\r\n"]) for _ in range(rng.randint(0, 40))) * rng.choice([1, 1, 30]) for _ in range(400)]
+    texts += texts[:40] + ["", "\r\n", "\r\n\r\n", "x" * 3_000_000 + "\r\n"]
+    pages = spark.createDataFrame([(i, f"u{i}", t) for i, t in enumerate(texts)], "page_id bigint, url string, html string").repartition(3)
+    for size in (5_000, warc.ARCHIVE):
+        path = str(tmp_path / f"w{size}")
+        warc.write(warc.resolve(pages), path, size=size)
+        found = warc.read(spark, path)
+        assert {r.page_id: r.payload for r in warc.with_payloads(found).collect()} == dict(enumerate(texts))
+        assert found.where("record_type = 'revisit' and payload is null").count() > 5
+    with pytest.raises(ValueError, match="cut short|length"):
+        reader = warc.Reader()
+        list(reader.feed(b"WARC/1.1\r\nContent-Length: 9\r\n\r\n"))
+        reader.end()
+
+
 def test_warc_of_no_pages(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     warc.write(warc.resolve(pages), str(tmp_path / "w"))
