@@ -79,7 +79,8 @@ def selections(ranking: DataFrame, qrels: DataFrame) -> DataFrame:
     flip = lambda v: majority(ends, v).select("qid", "flip")
     out = ends.groupBy("qid").agg(F.avg("quality").alias("quality"))
     out = out.join(flip(F.col("pick").cast("string")).withColumnRenamed("flip", "pick_flip"), "qid").join(flip(F.col("quality").cast("string")).withColumnRenamed("flip", "quality_flip"), "qid")
-    return out.join(flip(F.concat_ws(">", "pick", "worst")).withColumnRenamed("flip", "pair_flip"), "qid")
+    means = ranking.groupBy("qid", "docid").agg(F.avg("score").alias("m")).groupBy("qid").agg((F.max("m") - F.min("m")).alias("score_range"))
+    return out.join(flip(F.concat_ws(">", "pick", "worst")).withColumnRenamed("flip", "pair_flip"), "qid").join(means, "qid")
 
 
 def gold_in_top(ranking: DataFrame, qrels: DataFrame, k: int) -> DataFrame:

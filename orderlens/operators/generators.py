@@ -3,27 +3,33 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def shuffles(spark: SparkSession, sizes: list[int], seeds: list[int]) -> DataFrame:
-    """(n, seed, i, position): for each pool size and seed the order of random.Random(seed).shuffle; it depends on nothing else, so the table is small and pools only join it."""
-    rows = []
-    for n in sizes:
-        for seed in seeds:
-            order = list(range(n))
-            random.Random(seed).shuffle(order)
-            rows += [(n, seed, i, at) for at, i in enumerate(order)]
-    return spark.createDataFrame(rows, "n bigint, seed bigint, i bigint, position bigint")
+def shuffles(sizes: DataFrame, seeds: list[int]) -> DataFrame:
+    """(n, seed, i, position): for each pool size n and seed the order of random.Random(seed).shuffle, which depends on nothing else. Orders are made in tasks; one is as long as its pool."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                for seed in seeds:
+                    order = list(range(n))
+                    random.Random(seed).shuffle(order)
+                    yield pa.RecordBatch.from_pydict({"n": [n] * n, "seed": [seed] * n, "i": order, "position": list(range(n))}, pa.schema([(c, pa.int64()) for c in ("n", "seed", "i", "position")]))
 
-def presented(pool: DataFrame, table: DataFrame) -> DataFrame:
-    """(qid, docid, seed, position): each pool in each order of its size."""
+    return sizes.select(F.col("n").cast("bigint").alias("n")).distinct().mapInArrow(run, "n bigint, seed bigint, i bigint, position bigint")
+
+
+def presented(pool: DataFrame, seeds: list[int]) -> DataFrame:
+    """(qid, docid, seed, position): each pool, whatever its size, in each order of its size."""
     sized = pool.withColumn("n", F.count("*").over(Window.partitionBy("qid")))
-    return sized.join(F.broadcast(table), (sized["n"] == table["n"]) & (sized["fs_rank"] == table["i"])).select("qid", "docid", "seed", "position")
+    table = shuffles(pool.groupBy("qid").agg(F.count("*").alias("n")).select("n"), seeds).withColumnRenamed("n", "_n")
+    return sized.join(table, (F.col("n") == F.col("_n")) & (F.col("fs_rank") == F.col("i"))).select("qid", "docid", "seed", "position")
 
 
 def injected(pool: DataFrame, targets: DataFrame) -> DataFrame:

@@ -8,6 +8,12 @@ from pyspark.sql.window import Window
 
 
 # filters
+def finite(rows: DataFrame, value: str) -> DataFrame:
+    """Rows whose value is a number: neither null nor NaN nor infinite."""
+    v = F.col(value).cast("double")
+    return rows.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+
+
 def strict_qrels(candidates: DataFrame, qrels: DataFrame) -> DataFrame:
     """Candidates of queries with a judgment."""
     return candidates.join(qrels.select("qid").distinct(), "qid", "left_semi")
@@ -75,15 +81,29 @@ def ordered_pairs(rows: DataFrame) -> DataFrame:
     return a.join(b, "qid").where("a <> b")
 
 
-def nearest_donors(rows: DataFrame, key: str, length: str, owner: str, band: int = 64) -> DataFrame:
-    """(key, donor, gap): of another owner's rows, the one whose length is nearest, ties by a hash of both ids. Bands of lengths meet their neighbours; rows without a donor there search all lengths' representatives."""
-    left = rows.select(F.col(key).alias("a"), F.col(owner).alias("oa"), F.col(length).alias("la")).withColumn("_b", F.explode(F.array(*(F.floor(F.col("la") / band) + i for i in (-1, 0, 1)))))
-    right = rows.select(F.col(key).alias("b"), F.col(owner).alias("ob"), F.col(length).alias("lb")).withColumn("_b", F.floor(F.col("lb") / band))
-    # of each owner a band needs, for each length, only its first rows: more than that can never be nearest for anyone
-    right = right.withColumn("_r", F.row_number().over(Window.partitionBy("_b", "ob", "lb").orderBy("b"))).where("_r = 1").drop("_r")
-    gap = F.abs(F.col("la") - F.col("lb"))
-    near = left.join(right, "_b").where("oa <> ob").groupBy("a").agg(F.min_by(F.struct("b", gap.alias("gap")), F.struct(gap, F.xxhash64("a", "b"), F.col("b"))).alias("d"))
-    return near.where(F.col("d.gap") <= band).select(F.col("a").alias(key), F.col("d.b").alias("donor"), F.col("d.gap").alias("gap"))
+def nearest_donors(rows: DataFrame, key: str, length: str, owner: str) -> DataFrame:
+    """(key, donor, gap): of another owner's rows, one whose length is nearest, whatever the gap; ties by a hash of both ids.
+
+    Rows meet a table with a row for each length that occurs: there stand two donors of that length of different owners, and the nearest ones below and above, each again
+    with one of another owner. So no two rows are compared, however many share a length. That table is as large as there are different lengths; windows go over it as a
+    whole. Rows without an owner or a length neither have nor are donors; without a second owner there is no donor.
+    """
+    given = rows.select(F.col(key).alias("k"), F.col(owner).alias("o"), F.col(length).alias("l")).where("o is not null and l is not null")
+    each = given.groupBy("l", "o").agg(F.min("k").alias("k"))
+    one = each.groupBy("l").agg(F.min(F.struct("k", "o")).alias("a"))
+    two = each.join(one.withColumnRenamed("l", "_l"), (F.col("l") == F.col("_l")) & (F.col("o") != F.col("a.o"))).groupBy(F.col("l").alias("_l")).agg(F.min(F.struct("k", "o")).alias("b"))
+    table = one.join(two, F.col("l") == F.col("_l"), "left")
+    donor = lambda c: F.struct(F.col(f"{c}.k").alias("k"), F.col(f"{c}.o").alias("o"), F.col("l").alias("l"))
+    table = table.select("l", donor("a").alias("a"), F.when(F.col("b").isNotNull(), donor("b")).alias("b"))
+    for side, order in (("below", F.col("l").asc()), ("above", F.col("l").desc())):
+        w = Window.partitionBy(F.lit(0)).orderBy(order)
+        before = F.lag("a").over(w)
+        turn = F.when(F.col("b").isNotNull(), F.col("b")).when(before["o"] != F.col("a.o"), before)
+        table = table.withColumn(f"_{side}", turn).withColumn(side, F.last(f"_{side}", ignorenulls=True).over(w)).drop(f"_{side}")
+    met = given.join(table.withColumnRenamed("l", "_l"), F.col("l") == F.col("_l"))
+    choice = F.array(F.col("a"), F.col("b"), F.col("below"), F.col("above"))
+    ranked = F.transform(F.filter(choice, lambda x: x.isNotNull() & (x["o"] != F.col("o"))), lambda x: F.struct(F.abs(x["l"] - F.col("l")).alias("gap"), F.xxhash64(F.col("k"), x["k"]).alias("h"), x["k"].alias("donor")))
+    return met.select(F.col("k").alias(key), F.array_min(ranked).alias("d")).where("d is not null").select(key, "d.donor", "d.gap")
 
 
 def overlay(new: DataFrame, old: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -28,11 +28,12 @@ def presentation_study(log: DataFrame, qrels: DataFrame) -> DataFrame:
 
 
 def rebuilt(shards: list[DataFrame], qrels: DataFrame, prefix: str, least: int) -> DataFrame:
-    """The figures of score logs in shards, of presentations whose label has the prefix, for queries that have at least so many of them; repeated rows of shards count once."""
+    """The figures of score logs in shards, of presentations whose label has the prefix, for queries that have at least so many of them; of rows that shards repeat the one with the largest score counts."""
     log = shards[0]
     for shard in shards[1:]:
         log = log.unionByName(shard)
-    log = log.where(F.col("label").startswith(prefix)).dropDuplicates(["qid", "perm_idx", "docid"])
+    keys = ["qid", "perm_idx", "docid"]
+    log = log.where(F.col("label").startswith(prefix)).groupBy(*keys).agg(F.max(F.struct("score", "position")).alias("_x")).select(*keys, "_x.score", "_x.position")
     full = log.groupBy("qid").agg(F.count_distinct("perm_idx").alias("_k")).where(F.col("_k") >= least).select("qid")
     return presentation_study(log.join(full, "qid", "left_semi").select("qid", "perm_idx", "docid", "position", "score"), qrels)
 
@@ -142,18 +143,26 @@ def materialized(records: DataFrame, query: Column, options: Column, gold: Colum
 
 @F.pandas_udf(StringType())
 def last_boxed(texts):
-    r"""What the last balanced \boxed{} of a text holds; null if there is none. Balanced braces are beyond regular expressions, so this is an Arrow-batched function."""
+    r"""What the last \boxed of a text holds, without white space around it; null if there is none, or if its braces do not close. White space may stand before the brace.
+
+    Balanced braces are beyond regular expressions, so this is an Arrow-batched function; it reads a text once, from its last \boxed on.
+    """
+    import re
+
     import pandas as pd
 
+    opened, brace = re.compile(r"\s*\{"), re.compile(r"[{}]")
+
     def one(t: str | None) -> str | None:
-        start = (t or "").rfind("\\boxed{")
-        while start >= 0:
-            depth = 0
-            for i in range(start + 6, len(t)):
-                depth += (t[i] == "{") - (t[i] == "}")
-                if depth == 0:
-                    return t[start + 7 : i]
-            start = t.rfind("\\boxed{", 0, start)
+        start = (t or "").rfind("\\boxed")
+        first = opened.match(t, start + 6) if start >= 0 else None
+        if not first:
+            return None
+        depth = 1
+        for m in brace.finditer(t, first.end()):
+            depth += 1 if m[0] == "{" else -1
+            if not depth:
+                return t[first.end() : m.start()].strip()
         return None
 
     return pd.Series([one(t) for t in texts])

@@ -18,7 +18,7 @@ def rank_vectors(ranking: DataFrame) -> DataFrame:
 
 
 def order_sums(ranking: DataFrame) -> DataFrame:
-    """(qid, i, j, t, k) for each pair of documents i < j that all presentations rank: the sum of orders, and presentations."""
+    """(qid, i, j, t, k) for each pair of documents i < j: the sum of orders, and presentations. For queries whose documents all are in every presentation."""
     v = rank_vectors(ranking)
     a, b = v.select("qid", F.col("docid").alias("i"), F.col("ranks").alias("x")), v.select("qid", F.col("docid").alias("j"), F.col("ranks").alias("y"))
     signs = F.zip_with("x", "y", lambda x, y: F.when(x < y, 1).otherwise(-1))
@@ -26,9 +26,17 @@ def order_sums(ranking: DataFrame) -> DataFrame:
 
 
 def mean_tau(ranking: DataFrame) -> DataFrame:
-    """(qid, tau): mean Kendall tau over pairs of presentations; no row for a query with one document, null with one presentation."""
+    """(qid, tau): mean Kendall tau over pairs of presentations, each on the documents that both have; no row for a query with one document, null if no two presentations share two.
+
+    Where every presentation has every document, sums over pairs of documents give it; of other queries, presentations are compared two by two.
+    """
+    shape = ranking.groupBy("qid").agg((F.count_distinct("perm_idx") * F.count_distinct("docid") == F.count("*")).alias("_full"), F.count_distinct("docid").alias("_n"))
+    marked = ranking.join(shape.where("_n > 1"), "qid")
     t, k = F.col("t").cast("double"), F.col("k").cast("double")
-    return order_sums(ranking).groupBy("qid").agg(F.avg(F.when(k > 1, (t * t - k) / (k * (k - 1)))).alias("tau"))
+    full = order_sums(marked.where("_full")).groupBy("qid").agg(F.avg(F.when(k > 1, (t * t - k) / (k * (k - 1)))).alias("tau"))
+    lacking = marked.where("not _full").select(*ranking.columns)
+    pairs = tau_of_pairs(lacking).groupBy("qid").agg(F.avg("tau").alias("tau"))
+    return full.unionByName(lacking.select("qid").distinct().join(pairs, "qid", "left"))
 
 
 def tau_of_pairs(ranking: DataFrame) -> DataFrame:

@@ -12,12 +12,15 @@ from pyspark.sql.window import Window
 REPLICATES = 200
 
 
-def poisson_bootstrap(rows: DataFrame, value: str, *strata: str, replicates: int = REPLICATES, seed: int = 7) -> DataFrame:
+def poisson_bootstrap(rows: DataFrame, value: str, *strata: str, key: str = "qid", replicates: int = REPLICATES, seed: int = 7) -> DataFrame:
     """(estimate, lo, hi): mean of the strata's means, and its percentile interval over replicates in which each row weighs Poisson(1).
 
-    A row's weights come from a hash of its key and the replicate, so replicates need no shuffle of rows and partial sums are all that moves: replicates x strata.
+    A row's weights come from a hash of its key, its strata and the replicate, so replicates need no shuffle of rows and partial sums are all that moves: replicates x
+    strata. Rows with equal values but other keys are weighed apart; rows with the same key in a stratum stay together, as a cluster.
     """
-    key = F.xxhash64(*[c for c in rows.columns])
+    if key not in rows.columns:
+        raise ValueError(f"rows have no {key} to be drawn by")
+    key = F.xxhash64(key, *strata)
     cuts, p, total = [], math.exp(-1), 0.0
     for k in range(12):
         total += p
@@ -31,26 +34,34 @@ def poisson_bootstrap(rows: DataFrame, value: str, *strata: str, replicates: int
     return means.agg(F.max(F.when(F.col("b") == 0, F.col("m"))).alias("estimate"), F.percentile(ok, F.lit(0.025)).alias("lo"), F.percentile(ok, F.lit(0.975)).alias("hi"))
 
 
-def exact_bootstrap(rows: DataFrame, value: str, dataset: str, samples: int, seed: int, tasks: int = 8) -> DataFrame:
-    """(mean, lo, hi) by numpy's generator: datasets, then queries within, drawn with replacement. For evaluation tables (a value per query and dataset), which are gathered; replicates run in parallel."""
-    import pandas as pd
+def exact_bootstrap(rows: DataFrame, value: str, dataset: str | None, samples: int = 20_000, seed: int = 4401, key: str = "qid") -> DataFrame:
+    """(mean, lo, hi): the mean of datasets' means (of all values without a dataset) and the percentile interval by one stream of numpy's seeded generator.
 
-    values = {r["d"]: r["v"] for r in rows.groupBy(F.col(dataset).alias("d")).agg(F.array_sort(F.collect_list(value)).alias("v")).orderBy("d").collect()}
+    With datasets, each sample draws datasets, in the order of their names, and then values of each; without, it draws values. For evaluation tables (a value per query and
+    dataset, in the order of `key`), which are gathered in one task; one stream of a generator cannot be split.
+    """
+    import pandas as pd
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        arrays = [np.array(v) for v in values.values()]
-        for frame in frames:
-            out = []
-            for b in frame["b"]:
-                rng = np.random.default_rng([seed, int(b)])
-                out.append(float(np.mean([rng.choice(arrays[i], len(arrays[i])).mean() for i in rng.integers(0, len(arrays), len(arrays))])))
-            yield pd.DataFrame({"m": out})
-
-    drawn = rows.sparkSession.range(0, samples, 1, tasks).toDF("b").mapInPandas(run, "m double")
-    mean = sum(sum(v) / len(v) for v in values.values()) / len(values)
-    return drawn.agg(F.lit(mean).alias("mean"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+        frame = frame.sort_values(["d", "k"], kind="stable")
+        arrays = [g["v"].to_numpy(np.float64) for _, g in frame.groupby("d", sort=True)]
+        rng = np.random.default_rng(seed)
+        if dataset is None:
+            n, drawn, done = len(arrays[0]), np.empty(samples), 0
+            while done < samples:
+                some = min(samples - done, max(1, 2_000_000 // n))
+                drawn[done : done + some] = arrays[0][rng.integers(0, n, size=(some, n))].mean(axis=1)
+                done += some
+        else:
+            count = len(arrays)
+            drawn = np.array([np.mean([arrays[i][rng.integers(0, arrays[i].size, size=arrays[i].size)].mean() for i in rng.integers(0, count, size=count)]) for _ in range(samples)])
+        lo, hi = np.quantile(drawn, [0.025, 0.975])
+        return pd.DataFrame({"mean": [float(np.mean([a.mean() for a in arrays]))], "lo": [float(lo)], "hi": [float(hi)]})
+
+    table = rows.select((F.col(dataset) if dataset else F.lit("")).cast("string").alias("d"), F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("v is not null")
+    return table.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda _, frame: run(frame), "mean double, lo double, hi double")
 
 
 def normal_cdf(z: Column) -> Column:
@@ -84,6 +95,11 @@ def gain_histogram(rows: DataFrame, value: str, edges: list[float]) -> DataFrame
     return spine.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def nonnegative_share(rows: DataFrame, value: str) -> DataFrame:
+    """One row: mean, median, and the share of gains that are not negative."""
+    return rows.agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.avg((F.col(value) >= 0).cast("double")).alias("share"))
+
+
 def clustered_ols(rows: DataFrame, x: str, y: str, cluster: str) -> DataFrame:
     """One row: slope, intercept, and the cluster-robust (CR1) standard error of the slope; all from sums."""
     fit = rows.agg(F.avg(x).alias("mx"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_sxx(y, x).alias("sxx"), F.count("*").alias("n"))

@@ -66,8 +66,8 @@ def flip_sql(v: str) -> str:
 RELATIONS["ends"] = "SELECT e.*, q.rel AS quality FROM (SELECT qid, perm_idx, min_by(docid, rnk) AS pick, max_by(docid, rnk) AS worst FROM ranked GROUP BY 1, 2) e LEFT JOIN qrels q ON q.qid = e.qid AND q.docid = e.pick"
 register(
     "selection_metrics", lambda s, d: c.selections(ranking(s, d), r.qrels(s, d)),
-    f"SELECT a.qid, a.quality, p.f AS pick_flip, k.f AS quality_flip, w.f AS pair_flip FROM (SELECT qid, avg(quality) AS quality FROM ends GROUP BY qid) a JOIN {flip_sql('pick')} p ON p.qid = a.qid JOIN {flip_sql('quality')} k ON k.qid = a.qid JOIN {flip_sql('concat(pick, 0, worst)')} w ON w.qid = a.qid",
-    "qid", "quality pick_flip quality_flip pair_flip",
+    f"SELECT a.qid, a.quality, x.score_range, p.f AS pick_flip, k.f AS quality_flip, w.f AS pair_flip FROM (SELECT qid, avg(quality) AS quality FROM ends GROUP BY qid) a JOIN {flip_sql('pick')} p ON p.qid = a.qid JOIN {flip_sql('quality')} k ON k.qid = a.qid JOIN {flip_sql('concat(pick, 0, worst)')} w ON w.qid = a.qid JOIN (SELECT qid, max(m) - min(m) AS score_range FROM (SELECT qid, docid, avg(score) AS m FROM score_log GROUP BY 1, 2) GROUP BY qid) x ON x.qid = a.qid",
+    "qid", "quality pick_flip quality_flip pair_flip score_range",
 )
 register("reader_gold_in_top", lambda s, d: c.gold_in_top(ranking(s, d), r.qrels(s, d), 5).fillna(-1, ["gold_slot"]), "SELECT qid, perm_idx, coalesce(min(CASE WHEN rel > 0 THEN rnk END), -1) AS gold_slot, count(*) FILTER (WHERE rel > 0) AS n_gold FROM judged WHERE rnk < 5 GROUP BY 1, 2", "qid perm_idx gold_slot n_gold")
 register("ranked_top_k", lambda s, d: r.ranked(r.score_log(s, d), "position", "docid").where("rnk < 3"), "SELECT qid, perm_idx, docid, rnk FROM (SELECT *, row_number() OVER (PARTITION BY qid, perm_idx ORDER BY score DESC, position, docid) - 1 AS rnk FROM score_log) WHERE rnk < 3", "qid perm_idx docid rnk")

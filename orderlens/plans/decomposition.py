@@ -51,8 +51,7 @@ register(
         (SELECT x.qid, CASE WHEN max(i.idcg) > 0 THEN sum(CASE WHEN rnk < 10 THEN coalesce(q.rel, 0) / log2(rnk + 2) ELSE 0 END) / max(i.idcg) ELSE 0 END AS ndcg FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) - 1 AS rnk FROM (SELECT qid, docid, avg(score) AS score FROM score_log GROUP BY 1, 2)) x LEFT JOIN qrels q ON q.qid = x.qid AND q.docid = x.docid JOIN ideal i ON i.qid = x.qid GROUP BY 1) a ON a.qid = n.qid GROUP BY n.qid""",
     "qid", "single variance extent averaged",
 )
-register("composition_digest", lambda s, d: c.digest(c.slots(log(s, d), 5).where("perm_idx < 3"), "qid", "perm_idx", "chunk"), "SELECT qid, perm_idx, position // 5 AS chunk, substr(sha256(array_to_string(list_sort(list(CAST(docid AS VARCHAR))), chr(10))), 1, 16) AS digest FROM score_log WHERE perm_idx < 3 GROUP BY 1, 2, 3", "qid perm_idx chunk", "", "digest")
-register("composition_digest_all", lambda s, d: c.digest(c.slots(log(s, d), 5), "qid", "perm_idx", "chunk"), "SELECT qid, perm_idx, position // 5 AS chunk, substr(sha256(array_to_string(list_sort(list(CAST(docid AS VARCHAR))), chr(10))), 1, 16) AS digest FROM score_log GROUP BY 1, 2, 3", "qid perm_idx chunk", "", "digest")
+register("composition_digest", lambda s, d: c.digest(c.slots(log(s, d), 5), "qid", "perm_idx", "chunk"), "SELECT qid, perm_idx, position // 5 AS chunk, substr(sha256(array_to_string(list_sort(list(CAST(docid AS VARCHAR))), chr(10))), 1, 16) AS digest FROM score_log GROUP BY 1, 2, 3", "qid perm_idx chunk", "", "digest")
 
 
 def arms(s, d):

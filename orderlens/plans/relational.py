@@ -30,7 +30,8 @@ register("filter_first_k", lambda s, d: r.pool(s, d, 5).select("qid", "docid", "
 register("filter_label_prefix", lambda s, d: agg(r.table(s, d, "part").where(F.col("p_type").startswith("STANDARD")), "p_type"), "SELECT p_type, count(*) AS n FROM part WHERE p_type LIKE 'STANDARD%' GROUP BY 1", "n", "", "p_type")
 register("filter_completeness", lambda s, d: agg(c.with_presentations(r.verdict_items(s, d), 6), "qid"), "SELECT qid, count(*) AS n FROM verdict_items GROUP BY qid HAVING count(DISTINCT perm_idx) >= 6", "qid n")
 register("filter_retained", lambda s, d: log(s, d).where("score >= 2.0").select("qid", "perm_idx", "docid", "score"), "SELECT qid, perm_idx, docid, score FROM score_log WHERE score >= 2.0", "qid perm_idx docid", "score")
-register("filter_finite", lambda s, d: r.table(s, d, "events").agg(F.avg(F.nanvl("value", F.lit(None).cast("double"))).alias("v"), F.count("value").alias("n")), "SELECT avg(value) FILTER (WHERE NOT isnan(value)) AS v, count(value) AS n FROM events", "n", "v")
+ODD_VALUES = "CASE WHEN event_id % 7 = 0 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 11 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN event_id % 13 = 0 THEN CAST('-Infinity' AS DOUBLE) WHEN event_id % 17 = 0 THEN NULL ELSE value END"
+register("filter_finite", lambda s, d: c.finite(r.table(s, d, "events").withColumn("value", F.expr(ODD_VALUES)), "value").groupBy("event_type").agg(F.avg("value").alias("v"), F.count("*").alias("n")), f"SELECT event_type, avg(v) AS v, count(*) AS n FROM (SELECT event_type, {ODD_VALUES} AS v FROM events) WHERE isfinite(v) GROUP BY 1", "n", "v", "event_type")
 register("filter_restrict_ranking", lambda s, d: c.restricted(ranking(s, d), r.pool(s, d).where("fs_rank % 2 = 0")).select("qid", "perm_idx", "docid", "rnk", "complete"), "SELECT k.qid, k.perm_idx, k.docid, row_number() OVER (PARTITION BY k.qid, k.perm_idx ORDER BY k.rnk) - 1 AS rnk, 1 AS complete FROM ranked k JOIN pool p ON p.qid = k.qid AND p.docid = k.docid WHERE p.fs_rank % 2 = 0", "qid perm_idx docid rnk complete")
 register("filter_results_index", lambda s, d: r.table(s, d, "orders").where(F.col("o_orderstatus").isin("O", "P") & (F.col("o_totalprice") > 100000) & F.col("o_orderpriority").startswith("1")).select("o_orderkey", "o_orderstatus"), "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_totalprice > 100000 AND o_orderpriority LIKE '1%'", "o_orderkey", "", "o_orderstatus")
 register("filter_config_search", lambda s, d: r.table(s, d, "part").where(F.col("p_name").contains("a") & F.col("p_brand").contains("1")).select("p_partkey"), "SELECT p_partkey FROM part WHERE p_name LIKE '%a%' AND p_brand LIKE '%1%'", "p_partkey")
@@ -50,7 +51,7 @@ register("join_unpaired_assert", lambda s, d: c.unpaired(r.table(s, d, "customer
 register("join_presentation_pairs", lambda s, d: agg(log(s, d).select("qid", "docid", F.col("perm_idx").alias("a")).join(log(s, d).select("qid", "docid", F.col("perm_idx").alias("b")), ["qid", "docid"]).where("a < b"), "qid"), "SELECT qid, count(*) * 45 AS n FROM pool GROUP BY qid", "qid n")
 register("join_document_pairs", lambda s, d: ranking(s, d).where("perm_idx = 0").select("qid", F.col("docid").alias("a"), F.col("rnk").alias("x")).join(ranking(s, d).where("perm_idx = 0").select("qid", F.col("docid").alias("b"), F.col("rnk").alias("y")), "qid").where("x < y").groupBy("qid").agg(F.count("*").alias("n"), F.sum(F.col("y") - F.col("x")).alias("distance")), "SELECT a.qid, count(*) AS n, sum(b.rnk - a.rnk) AS distance FROM ranked a JOIN ranked b ON a.qid = b.qid AND a.perm_idx = 0 AND b.perm_idx = 0 AND a.rnk < b.rnk GROUP BY a.qid", "qid n distance")
 register("join_ordered_pairs", lambda s, d: agg(c.ordered_pairs(r.pool(s, d)), "qid", "a"), "SELECT a.qid, a.docid AS a, count(*) AS n FROM pool a JOIN pool b ON a.qid = b.qid AND a.docid <> b.docid GROUP BY 1, 2", "qid a n")
-register("join_nearest_donors", lambda s, d: c.nearest_donors(r.table(s, d, "documents"), "doc_id", "n_chars", "source").select("doc_id", "gap"), "SELECT a.doc_id, min(abs(a.n_chars - b.n_chars)) AS gap FROM documents a JOIN documents b ON a.source <> b.source AND abs(a.n_chars - b.n_chars) <= 64 GROUP BY 1", "doc_id gap")
+register("join_nearest_donors", lambda s, d: c.nearest_donors(r.table(s, d, "documents"), "doc_id", "n_chars", "source").select("doc_id", "gap"), "SELECT a.doc_id, min(abs(a.n_chars - b.n_chars)) AS gap FROM documents a JOIN documents b ON a.source <> b.source GROUP BY 1", "doc_id gap")
 register("join_overlay", lambda s, d: c.overlay(r.table(s, d, "customer").where("c_custkey % 3 = 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment")), r.table(s, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_custkey", ["c_mktsegment"]), "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer", "c_custkey", "c_acctbal", "c_mktsegment")
 register("join_cohort_coverage", lambda s, d: c.missing(r.table(s, d, "customer").select(F.col("c_custkey").alias("qid")), r.cand(s, d), ["qid"]), "SELECT c_custkey AS qid FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", "qid")
 register("join_shard_merge", lambda s, d: c.shard_check(r.table(s, d, "events").withColumn("shard", F.col("event_id") % 4), "shard", "event_id"), "SELECT count(*) AS n, count(DISTINCT event_id) AS distinct_n, count(*) - count(DISTINCT event_id) AS repeated, CASE WHEN min(event_id) = 0 AND max(event_id) = count(DISTINCT event_id) - 1 THEN 1 ELSE 0 END AS complete FROM events", "n distinct_n repeated complete")
@@ -74,8 +75,7 @@ register("window_sliding_lists", lambda s, d: r.pool(s, d).groupBy("qid").agg(F.
 register("window_blocks", lambda s, d: agg(r.cand(s, d).select("qid", F.floor(F.col("fs_rank") / 7).alias("block")), "qid", "block"), "SELECT qid, fs_rank // 7 AS block, count(*) AS n FROM cand GROUP BY 1, 2", "qid block n")
 register("window_stratified_sample", lambda s, d: c.stratified(r.cand(s, d), 2, 6, 2, 1).select("qid", "docid", "band"), "SELECT qid, docid, band FROM (SELECT *, row_number() OVER (PARTITION BY qid, band ORDER BY md5(concat(qid, ':', docid))) AS i FROM (SELECT *, CASE WHEN fs_rank < 2 THEN 0 WHEN fs_rank < 6 THEN 1 ELSE 2 END AS band FROM cand)) WHERE band = 0 OR (band = 1 AND i <= 2) OR (band = 2 AND i <= 1)", "qid docid band")
 register("window_round_robin_shards", lambda s, d: agg(r.cand(s, d).select((F.col("fs_rank") % 3).alias("shard")), "shard"), "SELECT fs_rank % 3 AS shard, count(*) AS n FROM cand GROUP BY 1", "shard n")
-register("window_running_best", lambda s, d: r.table(s, d, "orders").where("o_custkey % 10 = 0").select("o_custkey", "o_orderkey", F.max("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("best")), "SELECT o_custkey, o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS best FROM orders WHERE o_custkey % 10 = 0", "o_custkey o_orderkey", "best")
-register("window_running_best_all", lambda s, d: r.table(s, d, "orders").select("o_custkey", "o_orderkey", F.max("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("best")), "SELECT o_custkey, o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS best FROM orders", "o_custkey o_orderkey", "best")
+register("window_running_best", lambda s, d: r.table(s, d, "orders").select("o_custkey", "o_orderkey", F.max("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("best")), "SELECT o_custkey, o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS best FROM orders", "o_custkey o_orderkey", "best")
 register("window_warmup", lambda s, d: r.cand(s, d).select("qid", "docid", c.warmup(F.col("fs_rank"), 8, 3.0).alias("lam")), "SELECT qid, docid, least(3.0, 3.0 * fs_rank / 8) AS lam FROM cand", "qid docid", "lam")
 register("window_quantile_map", lambda s, d: c.quantile_map(log(s, d).where("perm_idx = 0").drop("perm_idx"), log(s, d).where("perm_idx = 1").drop("perm_idx"), "qid", "score").select("qid", "docid", "mapped"), "SELECT a.qid, a.docid, b.score AS mapped FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, docid) AS i FROM score_log WHERE perm_idx = 0) a JOIN (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, docid) AS i FROM score_log WHERE perm_idx = 1) b ON a.qid = b.qid AND a.i = b.i", "qid docid", "mapped")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as x
-from ..operators import generators, quality, runs, stability
+from ..operators import generators, quality, runs, stability, statistics
 from ..sources import relations as r
 from ..sources.scratch import scratch
 from .consumers import cells
@@ -40,13 +40,40 @@ register(
 register("run_analysis_by_name", lambda s, d: runs.analysis("tau-psi", r.score_log(s, d)), "SELECT qid, tau, tau_psi FROM psi", "qid", "tau tau_psi")
 
 
+# Published summaries, and what analyses of them must give.
+PAIRED = [("dl19", -0.12453829509565943), ("dl20", -0.10022123822201341)]
+TAU_PSI, VERDICT_FLIP, PAIR_FLIP = [0.0694329339910735, 0.07427135553061479], [0.0385952208544533, 0.03794351918899348, 0.035119478638667635], [0.248, 0.470, 0.560, 0.634, 0.553]
+GAINS = [-0.01, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.08, 0.09]
+FIT_X = [0.2, 0.25, 0.3, 0.35, 0.4, 0.45]
+FIT_Y = [0.08081655535009518, 0.08339635617662949, 0.0859761570031638, 0.08855595782969811, 0.09113575865623242, 0.09371555948276674]
+FIT_GROUPS = ["qwen3", "qwen3", "granite", "granite", "gemma", "gemma"]
+EXPECTED = [
+    ("bootstrap-ci", -0.11237976665883642, 1e-12), ("interval-below-zero", 1.0, 0.0), ("tau-psi", 0.07185214476084414, 1e-12), ("verdict-flip", 0.03721940622737147, 1e-12),
+    ("pair-flip", 0.493, 1e-12), ("jaccard", 0.831, 1e-3), ("gain-histogram", 0.9, 0.01), ("calibration", 0.05159601653068623, 1e-12), ("absent", 0.0, 1.0),
+]
+
+
 def representative(s, d):
-    psi = stability.mean_tau(r.ranked(r.score_log(s, d))).agg(F.avg(stability.tau_psi(F.col("tau"))).alias("value")).select(F.lit("tau-psi").alias("name"), "value")
-    expected = s.createDataFrame([("tau-psi", 0.5, 0.5), ("absent", 0.0, 1.0)], "name string, target double, tolerance double")
-    return runs.checked(psi, expected).select("name", "ok")
+    """The analyses of the published summaries by the operators, against their published results; and one that nothing gives."""
+    means = [(n, v) for n, vs in (("tau-psi", TAU_PSI), ("verdict-flip", VERDICT_FLIP), ("pair-flip", PAIR_FLIP)) for v in vs]
+    values = s.createDataFrame(means, "name string, v double").groupBy("name").agg(F.avg("v").alias("value"))
+    paired = statistics.exact_bootstrap(s.createDataFrame([(i, *p) for i, p in enumerate(PAIRED)], "qid int, dataset string, v double"), "v", "dataset")
+    values = values.unionByName(paired.select(F.explode(F.array(F.struct(F.lit("bootstrap-ci").alias("name"), F.col("mean").alias("value")), F.struct(F.lit("interval-below-zero").alias("name"), (F.col("hi") < 0).cast("double").alias("value")))).alias("x")).select("x.*"))
+    kept = s.range(59).select(F.explode(F.when(F.col("id") < 49, F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("id") % 2).cast("int")))).alias("perm_idx"), F.col("id").alias("docid"), F.lit(1).alias("qid"))
+    sets = kept.groupBy("qid", "perm_idx").agg(F.collect_set("docid").alias("x"))
+    both = sets.groupBy("qid").agg(F.max_by("x", "perm_idx").alias("x"), F.min_by("x", "perm_idx").alias("y"))
+    values = values.unionByName(both.select(F.lit("jaccard").alias("name"), (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).alias("value")))
+    values = values.unionByName(statistics.nonnegative_share(s.createDataFrame([(g,) for g in GAINS], "v double"), "v").select(F.lit("gain-histogram").alias("name"), F.col("share").alias("value")))
+    fit = statistics.clustered_ols(s.createDataFrame(list(zip(FIT_X, FIT_Y, FIT_GROUPS, strict=True)), "x double, y double, g string"), "x", "y", "g")
+    values = values.unionByName(fit.select(F.lit("calibration").alias("name"), F.col("slope").alias("value")))
+    return runs.checked(values, s.createDataFrame(EXPECTED, "name string, target double, tolerance double")).select("name", "ok", F.col("value"))
 
 
-register("run_representative_checks", representative, "SELECT 'tau-psi' AS name, 1 AS ok UNION ALL SELECT 'absent', 0", "ok", "", "name")
+register(
+    "run_representative_checks", representative,
+    "SELECT name, CASE WHEN name = 'absent' THEN 0 ELSE 1 END AS ok, value FROM (VALUES ('bootstrap-ci', -0.112379766659), ('interval-below-zero', 1.0), ('tau-psi', 0.071852144761), ('verdict-flip', 0.037219406227), ('pair-flip', 0.493), ('jaccard', 49 / 59.0), ('gain-histogram', 0.9), ('calibration', 0.051596016531), ('absent', NULL)) AS v(name, value)",
+    "ok", "value", "name", digits=9,
+)
 
 
 def overrides(s, d):
@@ -77,7 +104,7 @@ def dataset(s, d):
 register("run_dataset_qrels", lambda s, d: dataset(s, d)["qrels"], "SELECT CAST(p_partkey AS VARCHAR) AS qid, concat(p_partkey, '-', i) AS docid, CASE WHEN p_size % 2 = i THEN 1 ELSE 0 END AS rel FROM part, (VALUES (0), (1)) v(i)", "rel", "", "qid docid")
 register("run_dataset_run", lambda s, d: dataset(s, d)["run"], "SELECT CAST(p_partkey AS VARCHAR) AS qid, concat(p_partkey, '-', i) AS docid, i AS fs_rank, CASE i WHEN 0 THEN p_brand ELSE p_type END AS text FROM part, (VALUES (0), (1)) v(i)", "fs_rank", "", "qid docid text")
 register("run_dataset_topics", lambda s, d: dataset(s, d)["topics"], "SELECT CAST(p_partkey AS VARCHAR) AS qid, p_name AS query FROM part", "", "", "qid query")
-register("answer_last_boxed", lambda s, d: r.table(s, d, "part").select("p_partkey", runs.last_boxed(F.concat(F.lit("so \\boxed{1} or \\boxed{a{"), F.col("p_size").cast("string"), F.lit("}b} and \\boxed{open"))).alias("v")), "SELECT p_partkey, concat('a{', p_size, '}b') AS v FROM part", "p_partkey", "", "v")
+register("answer_last_boxed", lambda s, d: r.table(s, d, "part").select("p_partkey", runs.last_boxed(F.concat(F.lit("so \\boxed{1} or \\boxed { a{"), F.col("p_size").cast("string"), F.when(F.col("p_size") % 3 == 0, "}b } and \\boxed{open").otherwise("}b } and more}"))).alias("v")), "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN concat('a{', p_size, '}b') END AS v FROM part", "p_partkey", "", "v")
 register("join_matched_anchors", lambda s, d: runs.matched_anchors(r.table(s, d, "orders").select(F.col("o_custkey").alias("qid"), "o_orderstatus", F.substring("o_orderpriority", 1, 1).alias("a")), "o_orderstatus", ["a"]), "SELECT o_custkey AS qid, count(DISTINCT o_orderstatus) AS n_arms, CASE WHEN count(DISTINCT substr(o_orderpriority, 1, 1)) = 1 THEN 1 ELSE 0 END AS matched FROM orders GROUP BY 1", "qid n_arms matched")
 register("join_grouped_examples", lambda s, d: runs.grouped_examples(r.score_log(s, d).where("perm_idx = 0 and docid % 4 <> 0").select("qid", "docid", "score"), r.pool(s, d)).select("qid", F.array_join("docids", ",").alias("docids"), "n_missing"), "SELECT qid, coalesce(string_agg(CASE WHEN docid % 4 <> 0 THEN CAST(docid AS VARCHAR) END, ',' ORDER BY fs_rank), '') AS docids, count(*) FILTER (WHERE docid % 4 = 0) AS n_missing FROM pool GROUP BY qid", "qid n_missing", "", "docids")
 register("run_collector", lambda s, d: runs.collected(r.table(s, d, "customer").select("c_custkey"), r.table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus"), "c_custkey", "o_orderkey").select("c_custkey", "ready", F.coalesce("o_orderkey", F.lit(-1)).alias("run")), "SELECT c_custkey, CASE WHEN max(o_orderkey) IS NULL THEN 0 ELSE 1 END AS ready, coalesce(max(o_orderkey), -1) AS run FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1", "c_custkey ready run")

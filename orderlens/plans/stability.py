@@ -35,6 +35,16 @@ RELATIONS["score_vars"] = "SELECT qid, docid, var_pop(score) AS variance FROM sc
 
 register("psi_kendall_tau_pairs", lambda s, d: t.tau_of_pairs(ranking(s, d)), "SELECT x.qid, x.perm_idx AS perm_a, y.perm_idx AS perm_b, (SELECT count(*) FROM pool p WHERE p.qid = x.qid) AS n_common, avg(x.s * y.s) AS tau FROM docpairs x JOIN docpairs y ON x.qid = y.qid AND x.i = y.i AND x.j = y.j AND x.perm_idx < y.perm_idx GROUP BY 1, 2, 3 UNION ALL SELECT p.qid, a.perm_idx, b.perm_idx, 1, NULL FROM (SELECT qid FROM pool GROUP BY qid HAVING count(*) = 1) p JOIN perms a ON true JOIN perms b ON a.perm_idx < b.perm_idx", "qid perm_a perm_b n_common", "tau")
 register("psi_mean_tau", lambda s, d: t.mean_tau(ranking(s, d)), "SELECT qid, tau FROM tau", "qid", "tau")
+LACKING = "not (docid * 7 + perm_idx * 5 + docid div 3) % 6 = 0"
+RELATIONS["lacking"] = "SELECT * FROM ranked WHERE NOT (docid * 7 + perm_idx * 5 + docid // 3) % 6 = 0"
+register(
+    "psi_mean_tau_lacking", lambda s, d: t.mean_tau(ranking(s, d).where(LACKING)),
+    """SELECT n.qid, avg(x.tau) AS tau FROM (SELECT qid FROM lacking GROUP BY qid HAVING count(DISTINCT docid) > 1) n LEFT JOIN
+        (SELECT x.qid, avg(x.s * y.s) AS tau FROM (SELECT a.qid, a.perm_idx, a.docid AS i, b.docid AS j, CASE WHEN a.rnk < b.rnk THEN 1 ELSE -1 END AS s FROM lacking a JOIN lacking b ON a.qid = b.qid AND a.perm_idx = b.perm_idx AND a.docid < b.docid) x
+        JOIN (SELECT a.qid, a.perm_idx, a.docid AS i, b.docid AS j, CASE WHEN a.rnk < b.rnk THEN 1 ELSE -1 END AS s FROM lacking a JOIN lacking b ON a.qid = b.qid AND a.perm_idx = b.perm_idx AND a.docid < b.docid) y
+        ON x.qid = y.qid AND x.i = y.i AND x.j = y.j AND x.perm_idx < y.perm_idx GROUP BY x.qid, x.perm_idx, y.perm_idx) x ON x.qid = n.qid GROUP BY n.qid""",
+    "qid", "tau",
+)
 register("psi_tau_psi", lambda s, d: t.mean_tau(ranking(s, d)).withColumn("tau_psi", t.tau_psi(F.col("tau"))), "SELECT qid, tau, tau_psi FROM psi", "qid", "tau tau_psi")
 register("psi_rank_variance", lambda s, d: t.rank_variance(ranking(s, d)), "SELECT qid, docid, variance FROM rank_vars", "qid docid", "variance")
 register("psi_gold_rank_variance", lambda s, d: t.variance_of(ranking(s, d).join(r.qrels(s, d).where("rel > 0"), ["qid", "docid"], "left_semi"), "rnk").groupBy("qid").agg(F.avg("variance").alias("v")), "SELECT qid, v FROM gold_vars", "qid", "v")

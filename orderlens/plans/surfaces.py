@@ -46,7 +46,7 @@ def run_rows(s, d):
 
 
 register("source_run_round_trip", lambda s, d: run_rows(s, d).where("not bad").select("qid", "docid", "rank", "tag"), "SELECT CAST(qid AS VARCHAR) AS qid, CAST(docid AS VARCHAR) AS docid, rnk + 1 AS rank, 'ours' AS tag FROM ranked WHERE perm_idx = 0", "rank", "", "qid docid tag")
-register("source_run_sorted", lambda s, d: f.sorted_run(run_rows(s, d)).groupBy("qid").agg(F.max("rank").alias("last")), "SELECT CAST(qid AS VARCHAR) AS qid, max(rnk) + 1 AS last FROM ranked WHERE perm_idx = 0 GROUP BY qid", "last", "", "qid")
+register("source_run_sorted", lambda s, d: f.sorted_run(run_rows(s, d)).select("qid", "rank", F.monotonically_increasing_id().alias("at")).groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "rank"))), lambda x: x["rank"].cast("string")), " ").alias("ranks"), (F.max("at") - F.min("at") + 1).alias("together")), "SELECT CAST(qid AS VARCHAR) AS qid, string_agg(CAST(rnk + 1 AS VARCHAR), ' ' ORDER BY rnk) AS ranks, count(*) AS together FROM ranked WHERE perm_idx = 0 GROUP BY qid", "together", "", "qid ranks")
 register("source_run_import", lambda s, d: f.retagged(run_rows(s, d), "baseline").groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("qid").alias("queries")), "SELECT 'baseline' AS tag, count(*) AS n, count(DISTINCT qid) AS queries FROM pool", "n queries", "", "tag")
 
 
@@ -97,8 +97,7 @@ def silver(s, d):
 
 
 register("source_silver_jsonl", lambda s, d: silver(s, d).select("query_id", "doc_id", "score_continuous", "k_perms", F.col("score_raw_vector")[2].alias("third"), F.col("extra")["from"].alias("origin")), "SELECT query_id, CAST(doc_id AS VARCHAR) AS doc_id, avg(score) AS score_continuous, count(*) AS k_perms, max(score) FILTER (WHERE k = 2) AS third, 'raw' AS origin FROM silver_raw GROUP BY 1, 2", "k_perms", "score_continuous third", "query_id doc_id origin")
-register("source_regrouped_check", lambda s, d: f.regrouped(r.table(s, d, "events").where("event_id < 500"), "event_type", "event_id"), "SELECT event_type, count(*) AS n_groups FROM (SELECT event_type, lag(event_type) OVER (ORDER BY event_id) AS p FROM events WHERE event_id < 500) WHERE p IS DISTINCT FROM event_type GROUP BY 1 HAVING count(*) > 1", "n_groups", "", "event_type")
-register("source_regrouped_check_all", lambda s, d: f.regrouped(r.table(s, d, "events"), "event_type", "event_id"), "SELECT event_type, count(*) AS n_groups FROM (SELECT event_type, lag(event_type) OVER (ORDER BY event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type GROUP BY 1 HAVING count(*) > 1", "n_groups", "", "event_type")
+register("source_regrouped_check", lambda s, d: f.regrouped(r.table(s, d, "events"), "event_type", "event_id"), "SELECT event_type, count(*) AS n_groups FROM (SELECT event_type, lag(event_type) OVER (ORDER BY event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type GROUP BY 1 HAVING count(*) > 1", "n_groups", "", "event_type")
 register("source_first_seen_order", lambda s, d: f.first_seen(r.table(s, d, "events"), "user_id", "event_id"), "SELECT user_id, min(event_id) AS place FROM events GROUP BY 1", "user_id place")
 register("source_duplicate_ids", lambda s, d: f.unique_ids(r.table(s, d, "lineitem"), "l_orderkey"), "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1", "l_orderkey n")
 register("source_shard_concat", lambda s, d: f.union_shards([r.table(s, d, "events").where(F.col("event_id") % 3 == i) for i in range(3)]).groupBy("event_type").agg(F.count("*").alias("n")), "SELECT event_type, count(*) AS n FROM events GROUP BY 1", "n", "", "event_type")
@@ -120,8 +119,7 @@ def training_events(s, d):
 
 
 register("source_training_progress", training_events, "SELECT event_id AS step, value AS metric FROM events WHERE event_type = 'click'", "step", "metric", digits=6)
-register("source_dense_first_stage", lambda s, d: f.dense_top_k(r.table(s, d, "embeddings").where("vec_id < 20"), r.table(s, d, "embeddings"), "vec_id", "embedding", 10).select("qid", "docid", "rank"), "SELECT * FROM (SELECT q.vec_id AS qid, d.vec_id AS docid, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) DESC, d.vec_id) AS rank FROM embeddings q, embeddings d WHERE q.vec_id < 20) WHERE rank <= 10", "qid docid rank")
-register("source_dense_first_stage_fiftieth", lambda s, d: f.dense_top_k(r.table(s, d, "embeddings").where("vec_id % 50 = 0"), r.table(s, d, "embeddings"), "vec_id", "embedding", 10).select("qid", "docid", "rank"), "SELECT * FROM (SELECT q.vec_id AS qid, d.vec_id AS docid, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) DESC, d.vec_id) AS rank FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0) WHERE rank <= 10", "qid docid rank")
+register("source_dense_first_stage", lambda s, d: f.dense_top_k(r.table(s, d, "embeddings").where("vec_id % 50 = 0"), r.table(s, d, "embeddings"), "vec_id", "embedding", 10).select("qid", "docid", "rank"), "SELECT * FROM (SELECT q.vec_id AS qid, d.vec_id AS docid, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) DESC, d.vec_id) AS rank FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0) WHERE rank <= 10", "qid docid rank")
 register("source_bm25_first_stage", lambda s, d: f.bm25(r.table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), r.table(s, d, "documents"), "doc_id", "text", 10), None, "qid docid rank", "score")
 
 # scalar functions
@@ -164,7 +162,7 @@ register("function_digests", lambda s, d: docs(s, d).select("doc_id", F.sha2("te
 
 # generators
 def table(s):
-    return g.shuffles(s, list(range(1, 21)), [1, 2])
+    return [1, 2]
 
 
 register("generator_shuffles", lambda s, d: g.presented(r.pool(s, d), table(s)), None, "qid docid seed position")
@@ -209,5 +207,15 @@ def unique_name() -> str:
 register("stream_label_ingestion", lambda s, d: st.to_table(st.deduplicated(st.read_labels(s, events_dir(s, d)), ["user_id", "event_type"], "3650 days"), scratch(s, "labels"), scratch(s, "checkpoint")).groupBy("user_id").agg(F.count("*").alias("n")), "SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY 1", "user_id n")
 register("stream_running_cost", lambda s, d: st.totals(st.running_cost(st.read_labels(s, events_dir(s, d), 1)), unique_name()), "SELECT event_type, count(*) AS n, sum(value) AS cost FROM events GROUP BY 1", "n", "cost", "event_type", digits=4)
 register("stream_progress", lambda s, d: st.totals(st.progress(st.read_labels(s, events_dir(s, d), 1), "3650 days", "1 day"), unique_name()).agg(F.count("*").alias("windows"), F.sum("n").alias("n"), F.sum("failures").alias("failures")), "SELECT count(DISTINCT CAST(ts AS DATE)) AS windows, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events", "windows n failures")
-register("stream_budget", lambda s, d: s.createDataFrame([(int(st.ingest(st.read_labels(s, events_dir(s, d), 1), scratch(s, "labels"), scratch(s, "checkpoint"), spark=s) > 0),)], "spent int"), "SELECT 1 AS spent", "spent")
+def budget(s, d):
+    """One batch of four is written for the least budget, the rest by a second run without one."""
+    files, labels, checkpoint = events_dir(s, d), scratch(s, "labels"), scratch(s, "checkpoint")
+    first = st.ingest(st.read_labels(s, files, 1), labels, checkpoint, budget=1e-9, spark=s)
+    some = s.read.parquet(labels).select("batch").distinct().count()
+    st.ingest(st.read_labels(s, files, 1), labels, checkpoint, spark=s)
+    done = s.read.parquet(labels)
+    return done.agg(F.count("*").alias("n"), F.count_distinct("batch").alias("batches"), F.lit(some).alias("batches_before"), (F.sum("value") > first).cast("bigint").alias("more"), F.sum("value").alias("cost"))
+
+
+register("stream_budget", budget, "SELECT count(*) AS n, 4 AS batches, 1 AS batches_before, 1 AS more, sum(value) AS cost FROM events", "n batches batches_before more", "cost", digits=4)
 register("stream_resume", lambda s, d: st.resumed(r.table(s, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("f")), r.table(s, d, "customer").where("c_custkey % 4 <> 0").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "other").otherwise(F.col("c_mktsegment")).alias("f")), "c_custkey", "f"), "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'missing' WHEN c_custkey % 3 = 0 THEN 'mismatch' ELSE 'reuse' END AS state FROM customer", "c_custkey", "", "state")

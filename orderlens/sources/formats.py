@@ -19,9 +19,9 @@ FIXTURE = "qid string, query string, passages array<struct<pid:string,text:strin
 
 
 def fields(spark: SparkSession, path: str) -> DataFrame:
-    """value's white-space separated fields f, and line: an order of lines that follows files and places in them."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.split(F.trim("value"), r"\s+").alias("f"))
-    return lines
+    """value's white-space separated fields f, and line: an order of lines that follows the names of files, the blocks in a file and the lines in a block, whichever task reads them."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    return spark.read.text(path).select(at.alias("line"), F.split(F.trim("value"), r"\s+").alias("f"))
 
 
 def last_wins(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

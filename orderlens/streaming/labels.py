@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,18 +37,34 @@ def sessions(labels: DataFrame, late: str, gap: str) -> DataFrame:
 
 
 def ingest(labels: DataFrame, table: str, checkpoint: str, budget: float | None = None, spark: SparkSession | None = None) -> float:
-    """Appends each micro-batch to a table until the budget is spent; a batch that is run again replaces itself, so a resumed stream writes nothing twice. Returns the cost so far."""
+    """Appends each micro-batch to a table until the budget is spent; returns the cost so far.
+
+    A batch that is run again replaces itself, so a resumed stream writes nothing twice. Once the table's cost reaches the budget, the next batch is refused before it is
+    written or committed, so a later run with more budget begins with it.
+    """
     spark = spark or labels.sparkSession
-    spent = [0.0]
+
+    def cost() -> float:
+        try:
+            return spark.read.parquet(table).agg(F.sum("value")).first()[0] or 0.0
+        except AnalysisException:  # nothing is written yet
+            return 0.0
+
+    spent, refused = [cost()], []
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
-        spent[0] = spark.read.parquet(table).agg(F.sum("value")).first()[0] or 0.0
         if budget is not None and spent[0] >= budget:
-            query.stop()
+            refused.append(number)
+            raise RuntimeError("the budget is spent")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+        spent[0] = cost()
 
     query = labels.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not refused:
+            raise
     return spent[0]
 
 

@@ -17,8 +17,8 @@ def test_has_rows(name, spark, sf):
 
 
 def test_running_best_and_digests_are_of_all_rows(spark, sf):
-    assert QUERIES["window_running_best_all"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count()
-    assert {r.perm_idx for r in QUERIES["composition_digest_all"](spark, sf).select("perm_idx").distinct().collect()} == set(range(10))
+    assert QUERIES["window_running_best"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert {r.perm_idx for r in QUERIES["composition_digest"](spark, sf).select("perm_idx").distinct().collect()} == set(range(10))
 
 
 def test_entry_names():

@@ -3,10 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.operators import consensus, consumers, decomposition, generators, quality, relational, scorers, stability, statistics, thresholds
+from orderlens.operators import consensus, consumers, decomposition, generators, quality, relational, runs, scorers, stability, statistics, thresholds
 from orderlens.functions import text as x
 from orderlens.sources import formats
 
@@ -152,7 +153,7 @@ def test_fixed_effects_close(spark):
 def test_shuffles_are_those_of_python(spark):
     order = list(range(7))
     random.Random(3).shuffle(order)
-    got = sorted((r.position, r.i) for r in generators.shuffles(spark, [7], [3]).collect())
+    got = sorted((r.position, r.i) for r in generators.shuffles(spark.createDataFrame([(7,), (7,)], "n bigint"), [3]).collect())
     assert [i for _, i in got] == order
 
 
@@ -174,12 +175,70 @@ def test_unpaired_keys(spark):
     assert {tuple(r) for r in relational.unpaired(a, b, ["id"]).collect()} == {(0, "left"), (3, "right")}
 
 
-def test_exact_bootstrap_mean_is_the_mean_of_dataset_means(spark):
-    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "dataset string, v double")
-    row = statistics.exact_bootstrap(rows, "v", "dataset", 50, 1)
-    got = row.first()
-    assert got.mean == 3.5 and got.lo <= 3.5 <= got.hi
-    assert tuple(row.first()) == tuple(got)
+def test_exact_bootstrap_is_that_of_one_seeded_stream(spark):
+    rows = [(i, "ab"[i % 3 == 0], float(i * i % 7)) for i in range(9)]
+    df = spark.createDataFrame(rows, "qid bigint, dataset string, v double")
+    arrays = [np.array([v for _, d, v in rows if d == n]) for n in "ab"]
+    rng, drawn = np.random.default_rng(5), []
+    for _ in range(300):
+        drawn.append(np.mean([arrays["ab".index(n)][rng.integers(0, arrays["ab".index(n)].size, size=arrays["ab".index(n)].size)].mean() for n in rng.choice(["a", "b"], size=2, replace=True)]))
+    got = statistics.exact_bootstrap(df, "v", "dataset", 300, 5).first()
+    assert got.mean == pytest.approx(np.mean([a.mean() for a in arrays])) and [got.lo, got.hi] == pytest.approx(list(np.quantile(drawn, [0.025, 0.975])))
+    values = np.array([v for _, _, v in rows])
+    want = np.quantile(values[np.random.default_rng(5).integers(0, 9, size=(300, 9))].mean(axis=1), [0.025, 0.975])
+    got = statistics.exact_bootstrap(df, "v", None, 300, 5).first()
+    assert [got.lo, got.hi] == pytest.approx(list(want))
+
+
+def test_poisson_bootstrap_weighs_equal_values_apart(spark):
+    rows = spark.createDataFrame([(i, float(i % 2)) for i in range(400)], "qid bigint, v double")
+    got = statistics.poisson_bootstrap(rows, "v").first()
+    assert got.estimate == 0.5 and 0.03 < got.hi - got.lo < 0.16  # two standard errors to each side are 0.05
+    with pytest.raises(ValueError, match="drawn by"):
+        statistics.poisson_bootstrap(rows.drop("qid"), "v")
+
+
+def test_mean_tau_of_presentations_that_lack_documents(spark):
+    rank = lambda *orders: stability.mean_tau(rankings(spark, *orders)).collect()
+    assert [r.tau for r in rank([1, 2, 3], [1, 2], [1, 2, 3])] == [1.0]
+    assert [r.tau for r in rank([1, 2, 3], [1, 3], [2, 3])] == [1.0]
+    assert [r.tau for r in rank([1, 2, 3], [3, 1])] == [-1.0]
+    assert [r.tau for r in rank([1, 2], [3, 4])] == [None] and rank([1], [1]) == []
+
+
+def test_nearest_donors_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([5, 5, 5, 900, 901, 40, 7000]) if i % 3 else rng.randint(0, 99), rng.choice("aaaab")) for i in range(200)] + [(200, None, "a"), (201, 4, None)]
+    got = {r.k: r.gap for r in relational.nearest_donors(spark.createDataFrame(rows, "k bigint, n bigint, o string"), "k", "n", "o").collect()}
+    full = [r for r in rows if None not in r]
+    assert got == {k: min(abs(n - m) for _, m, p in full if p != o) for k, n, o in full}
+    alone = spark.createDataFrame([(1, 2, "a"), (2, 9, "a")], "k bigint, n bigint, o string")
+    assert relational.nearest_donors(alone, "k", "n", "o").count() == 0
+
+
+def test_shuffles_of_any_pool_size(spark):
+    pool = spark.range(250).select(F.lit(1).cast("bigint").alias("qid"), F.col("id").alias("docid"), F.col("id").alias("fs_rank"))
+    got = [r.docid for r in generators.presented(pool, [9]).orderBy("position").collect()]
+    want = list(range(250))
+    random.Random(9).shuffle(want)
+    assert got == want
+
+
+def test_last_line_wins_over_several_files(spark, tmp_path):
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "a.txt").write_text("1 0 d 3\n" + "2 0 x 1\n" * 5000)
+    (tmp_path / "q" / "b.txt").write_text("1 0 d 1\n")
+    assert {(r.qid, r.docid): r.rel for r in formats.read_qrels(spark, str(tmp_path / "q")).collect()} == {("1", "d"): 1, ("2", "x"): 1}
+
+
+@pytest.mark.parametrize(("text", "want"), [(r"\boxed{1} \boxed{a{2}b}", "a{2}b"), (r"\boxed{1} \boxed{open", None), (r"\boxed  { x }", "x"), (r"\boxed", None), ("", None), (None, None), (r"\boxed{1} \boxed 2", None)])
+def test_last_boxed(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(runs.last_boxed("t").alias("v")).first().v == want
+
+
+def test_finite_drops_nulls_nans_and_infinities(spark):
+    rows = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (float("inf"),), (-float("inf"),), (-2.0,)], "v double")
+    assert sorted(r.v for r in relational.finite(rows, "v").collect()) == [-2.0, 1.0]
 
 
 def test_normal_cdf(spark):
