@@ -14,7 +14,7 @@ from math import inf, log10
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import counted, map_rows, text_of
+from .common import counted, map_rows, most_frequent, tables, text_of
 
 KINDS = ("assign", "access", "hex", "guess")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -141,9 +141,11 @@ def words_of(text: str) -> list[bytes]:
 
 def learn_ranks(docs: DataFrame, text: str = "text", words: int = WORDS) -> dict[str, int]:
     """The rank of each word that guessers try: the fixed ones, then the most frequent of all texts. At most `words` of 24 letters come to the driver."""
-    found = counted(docs.select(text_of(text).alias("text")), words_of).where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "word").limit(words).collect()
+    with tables(docs.sparkSession) as keep:
+        counts = keep(counted(docs.select(text_of(text).alias("text")), words_of).where(F.col("c") >= OFTEN))
+        found = most_frequent(counts, words).collect()
     ranks = dict(RANK)
-    for r in found:
+    for r in sorted(found, key=lambda r: (-r.c, r.word)):
         ranks.setdefault(bytes(r.word).decode(), len(ranks) + 1)
     return ranks
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("orderlens.llm")
-from orderlens.llm import bpe, chat, contamination, lm, merkle, neardup, queries, secrets, sharding, toxicity, warc  # noqa: E402
+from orderlens.llm import bpe, chat, common, contamination, lm, merkle, neardup, queries, secrets, sharding, toxicity, warc  # noqa: E402
 from orderlens.llm.queries import tokenizer_path  # noqa: E402
 
 LONG = "word " * 30_000
@@ -36,6 +36,19 @@ def docs(spark, texts, first=0):
     return spark.createDataFrame([(first + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
 
 
+# shared
+def test_most_frequent_is_the_sorted_prefix(spark):
+    rng = random.Random(5)
+    counts = {f"w{i}".encode(): rng.choice([1, 1, 1, 2, 3, 7, 70, 71, 5000]) for i in range(3000)} | {b"top": 10**9, b"next": 10**9 - 1}
+    rows = spark.createDataFrame([(bytearray(w), c) for w, c in counts.items()], "word binary, c bigint")
+    order = sorted(counts.values(), reverse=True)
+    for limit in (1, 2, 3, 500, 1500, len(counts), len(counts) + 1):
+        first, again = (common.most_frequent(r, limit).collect() for r in (rows, rows.repartition(7)))
+        assert [r.c for r in first] == order[:limit] and first == again
+        assert all(counts[bytes(r.word)] == r.c for r in first) and len({bytes(r.word) for r in first}) == len(first)
+    assert common.most_frequent(rows.where("false"), 5).collect() == []
+
+
 # 1 chat
 def test_chat_round_trip_and_mask(spark):
     rows = [(1, 0, "user", "hi ^ <|end|>"), (1, 1, "assistant", " a</s>b\n"), (1, 2, "assistant", None), (1, 3, None, "x"), (2, None, "assistant", "é\U0001f600"), (None, 0, "user", "")]
