@@ -23,8 +23,7 @@ def experiment(pool: DataFrame, qrels: DataFrame, scorer: str, k: int = 10) -> D
 
 def presentation_study(log: DataFrame, qrels: DataFrame) -> DataFrame:
     """All per-query figures of a score log."""
-    order = ranked(log)
-    return stability.evaluate(log, order, quality.ndcg(order, qrels), qrels)
+    return stability.evaluate(ranked(log), qrels)
 
 
 def rebuilt(shards: list[DataFrame], qrels: DataFrame, prefix: str, least: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Order instability: Kendall's tau and tau-PSI, variances over presentations, position buckets, rank-biased overlap and summaries of aligned scores.
 
-A query's presentations are compared through pairs of documents. If s is +1 or -1 by how a presentation orders a pair, the products over all pairs of K presentations
-sum to ((sum of s)^2 - K) / 2; so a pair needs one sum over presentations and no join of presentations with each other.
+A query's log is gathered into one row, from which its figures are computed: nothing is joined but rows of queries, and a query is as large as its pool.
+Its presentations are compared through pairs of documents. If s is +1 or -1 by how a presentation orders a pair, the products over all pairs of K presentations
+sum to ((sum of s)^2 - K) / 2; so a pair needs one sum over presentations and no comparison of presentations with each other.
 """
 
 from __future__ import annotations
@@ -11,18 +12,56 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def rank_vectors(ranking: DataFrame) -> DataFrame:
-    """(qid, docid, ranks): the ranks of a document by presentation."""
-    pairs = F.array_sort(F.collect_list(F.struct("perm_idx", "rnk")))
-    return ranking.groupBy("qid", "docid").agg(F.transform(pairs, lambda x: x["rnk"]).alias("ranks"))
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, also where lambdas name it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def order_sums(ranking: DataFrame) -> DataFrame:
-    """(qid, i, j, t, k) for each pair of documents i < j: the sum of orders, and presentations. For queries whose documents all are in every presentation."""
-    v = rank_vectors(ranking)
-    a, b = v.select("qid", F.col("docid").alias("i"), F.col("ranks").alias("x")), v.select("qid", F.col("docid").alias("j"), F.col("ranks").alias("y"))
-    signs = F.zip_with("x", "y", lambda x, y: F.when(x < y, 1).otherwise(-1))
-    return a.join(b, "qid").where("i < j").select("qid", "i", "j", F.aggregate(signs, F.lit(0), lambda s, x: s + x).alias("t"), F.size("x").alias("k"))
+def mean_of(values: Column) -> Column:
+    """The mean of an array's values that are not null; null if there are none."""
+    total = lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v))
+    return let(F.array_compact(F.transform(values, lambda x: x.cast("double"))), total)
+
+
+def quantile_of(values: Column, share: float) -> Column:
+    """The linear quantile of a sorted array; null if it is empty."""
+    place = share * (F.size(values) - 1)
+    low, high = F.get(values, F.floor(place).cast("int")), F.get(values, F.ceil(place).cast("int"))
+    return F.when(F.size(values) > 0, low + (high - low) * (place - F.floor(place)))
+
+
+def by_query(ranking: DataFrame, *figures: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(qid, docs, perms): a row a query; docs are (docid, x, figures), x the (perm_idx, rnk, carried columns) of a document in the order of presentations; figures are aggregates over them."""
+    docs = ranking.groupBy("qid", "docid").agg(F.sort_array(F.collect_list(F.struct("perm_idx", "rnk", *carry))).alias("x"), *figures)
+    rows = docs.groupBy("qid").agg(F.collect_list(F.struct(*[c for c in docs.columns if c != "qid"])).alias("docs"))
+    return rows.withColumn("perms", F.sort_array(F.array_distinct(F.flatten(F.transform("docs", lambda d: d["x"]["perm_idx"])))))
+
+
+def is_full(docs: Column, perms: Column) -> Column:
+    """Whether every presentation has every document."""
+    return F.forall(docs, lambda d: F.size(d["x"]) == F.size(perms))
+
+
+def tau_of(docs: Column, perms: Column) -> Column:
+    """Mean Kendall tau of a row of `by_query`."""
+    n, k = F.size(docs), F.size(perms)
+    after = lambda rows, i: F.slice(rows, i + 2, F.size(rows))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    sign = lambda up: F.when(up, 1).otherwise(-1)
+    orders = lambda a, b: F.aggregate(F.zip_with(a["x"]["rnk"], b["x"]["rnk"], lambda x, y: sign(x < y)), F.lit(0), lambda s, x: s + x)
+    squares = total(F.transform(docs, lambda a, i: F.aggregate(after(docs, i), F.lit(0.0), lambda s, b: s + F.pow(orders(a, b), F.lit(2)))))
+    full = F.when(k > 1, (squares / (n * (n - 1) / 2) - k) / (k * (k - 1)))
+
+    def common(pairs: Column) -> Column:
+        rises = lambda x, i: F.aggregate(after(pairs, i), F.lit(0.0), lambda s, y: s + sign((x["a"] < y["a"]) == (x["b"] < y["b"])))
+        return F.when(F.size(pairs) > 1, total(F.transform(pairs, rises)) / (F.size(pairs) * (F.size(pairs) - 1) / 2))
+
+    def tau(u: Column, v: Column) -> Column:
+        return let(F.filter(F.zip_with(u, v, lambda x, y: F.struct(x.alias("a"), y.alias("b"))), lambda r: r["a"].isNotNull() & r["b"].isNotNull()), common)
+
+    vectors = F.transform(perms, lambda p: F.transform(docs, lambda d: F.get(F.filter(d["x"], lambda y: y["perm_idx"] == p)["rnk"], F.lit(0))))
+    lacking = let(vectors, lambda v: mean_of(F.flatten(F.transform(v, lambda a, i: F.transform(after(v, i), lambda b: tau(a, b))))))
+    return F.when(n > 1, F.when(is_full(docs, perms), full).otherwise(lacking))
 
 
 def mean_tau(ranking: DataFrame) -> DataFrame:
@@ -30,13 +69,7 @@ def mean_tau(ranking: DataFrame) -> DataFrame:
 
     Where every presentation has every document, sums over pairs of documents give it; of other queries, presentations are compared two by two.
     """
-    shape = ranking.groupBy("qid").agg((F.count_distinct("perm_idx") * F.count_distinct("docid") == F.count("*")).alias("_full"), F.count_distinct("docid").alias("_n"))
-    marked = ranking.join(shape.where("_n > 1"), "qid")
-    t, k = F.col("t").cast("double"), F.col("k").cast("double")
-    full = order_sums(marked.where("_full")).groupBy("qid").agg(F.avg(F.when(k > 1, (t * t - k) / (k * (k - 1)))).alias("tau"))
-    lacking = marked.where("not _full").select(*ranking.columns)
-    pairs = tau_of_pairs(lacking).groupBy("qid").agg(F.avg("tau").alias("tau"))
-    return full.unionByName(lacking.select("qid").distinct().join(pairs, "qid", "left"))
+    return by_query(ranking).where(F.size("docs") > 1).select("qid", tau_of(F.col("docs"), F.col("perms")).alias("tau"))
 
 
 def tau_of_pairs(ranking: DataFrame) -> DataFrame:
@@ -110,51 +143,87 @@ def combined_delta(per_query: DataFrame) -> DataFrame:
     return all_of.join(F.broadcast(modal))
 
 
-def evaluate(log: DataFrame, ranking: DataFrame, ndcg: DataFrame, qrels: DataFrame) -> DataFrame:
-    """All per-query figures of order instability, one row a query."""
-    taus = mean_tau(ranking).withColumn("tau_psi", tau_psi(F.col("tau")))
-    rank_var = rank_variance(ranking).groupBy("qid").agg(F.avg("variance").alias("rank_variance"))
-    gold_var = variance_of(ranking.join(qrels.where("rel > 0").select("qid", "docid"), ["qid", "docid"], "left_semi"), "rnk").groupBy("qid").agg(F.avg("variance").alias("gold_rank_variance"))
-    score_var = variance_of(log, "score").groupBy("qid").agg(F.avg("variance").alias("score_variance"))
-    buckets = by_bucket(ndcg, labelled(ranking, qrels))
-    out = spread(ndcg).withColumnRenamed("delta", "delta_range").withColumnRenamed("mean", "ndcg").withColumnRenamed("n", "k")
-    for part in (taus, rank_var, gold_var, score_var, buckets.select("qid", F.col("delta").alias("delta_stratified"), "zeng_psi")):
-        out = out.join(part, "qid", "left")
-    return out
+def judgments(qrels: DataFrame, k: int) -> DataFrame:
+    """(qid, idcg, positives): a row a query; of a document judged twice the higher grade counts."""
+    rows = qrels.where("docid is not null").repartition("qid").groupBy("qid", "docid").agg(F.max("rel").alias("rel"))
+    per = rows.groupBy("qid").agg(F.sort_array(F.collect_list("rel"), asc=False).alias("rels"), F.map_from_entries(F.collect_list(F.when(F.col("rel") > 0, F.struct("docid", "rel")))).alias("positives"))
+    gains = F.transform(F.slice("rels", 1, k), lambda r, i: r / F.log2(i + 2))
+    return per.select("qid", F.aggregate(gains, F.lit(0.0), lambda s, x: s + x).alias("idcg"), "positives")
+
+
+def evaluate(ranking: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
+    """All per-query figures of order instability, one row a query, of rankings with scores and positions.
+
+    A query without positive judgments has nDCG 0 and no figures by buckets; a variance needs two presentations of a document, that of ranks documents that all presentations have.
+    """
+    rows = by_query(ranking, F.var_pop("rnk").alias("vr"), F.var_pop("score").alias("vs"), F.count("score").alias("ns"), carry=("position",)).join(judgments(qrels, k), "qid", "left")
+    golds = F.transform(F.filter("docs", lambda d: F.try_element_at(F.col("positives"), d["docid"]).isNotNull()), lambda d: F.struct((-F.try_element_at(F.col("positives"), d["docid"])).alias("loss"), d["docid"].alias("docid"), d["x"].alias("x"), d["vr"].alias("vr")))
+    rows = rows.withColumn("golds", golds).withColumn("first", F.array_min("golds"))
+    hits = F.flatten(F.transform("golds", lambda g: F.transform(F.filter(g["x"], lambda y: y["rnk"] < k), lambda y: F.struct(y["perm_idx"].alias("p"), (-g["loss"] / F.log2(y["rnk"] + 2)).alias("gain")))))
+    dcg = lambda h, p: F.aggregate(F.filter(h, lambda x: x["p"] == p), F.lit(0.0), lambda s, x: s + x["gain"])
+    values = let(hits, lambda h: F.transform("perms", lambda p: F.when(F.col("idcg") > 0, dcg(h, p) / F.col("idcg")).otherwise(0.0)))
+    held = lambda p: F.when(F.col("full"), F.size("docs")).otherwise(F.size(F.filter("docs", lambda d: F.exists(d["x"], lambda y: y["perm_idx"] == p))))
+    places = F.transform("perms", lambda p: F.get(F.transform(F.filter(F.col("first")["x"], lambda y: y["perm_idx"] == p), lambda y: bucket(y["position"], held(p))), F.lit(0)))
+    rows = rows.withColumn("full", is_full(F.col("docs"), F.col("perms"))).withColumn("values", values)
+    rows = rows.withColumn("placed", F.zip_with(places, F.col("values"), lambda b, v: F.struct(b.alias("b"), v.alias("v"))))
+    side = lambda *names: mean_of(F.filter("placed", lambda r: r["b"].isin(*names))["v"])
+    variance = lambda docs, field, test: mean_of(F.filter(docs, test)[field])
+    out = rows.select(
+        "qid", F.size("perms").alias("k"), mean_of(F.col("values")).alias("ndcg"), F.array_min("values").alias("least"), F.array_max("values").alias("greatest"), tau_of(F.col("docs"), F.col("perms")).alias("tau"),
+        variance(F.col("docs"), "vr", lambda d: F.size(d["x"]) == F.size("perms")).alias("rank_variance"), variance(F.col("golds"), "vr", lambda g: F.size(g["x"]) > 1).alias("gold_rank_variance"),
+        variance(F.col("docs"), "vs", lambda d: d["ns"] > 1).alias("score_variance"), (side("top", "bottom") - side("middle")).alias("delta_stratified"), zeng(F.array_compact(F.array(side("top"), side("middle"), side("bottom")))).alias("zeng_psi"),
+    )
+    return out.withColumn("delta_range", F.col("greatest") - F.col("least")).withColumn("tau_psi", tau_psi(F.col("tau")))
+
+
+def overlap_of(lists: Column, depth: int = 10, p: float = 0.9) -> Column:
+    """Mean extrapolated overlap of pairs of rankings, each the first `depth` ids in order: (1-p) * sum of A_d p^(d-1) + A_depth p^depth; to the longer one's length if that is less."""
+    # a shared document counts from the deeper of its two ranks, m, on; so its part of the sum depends on m and the depth k alone
+    part = lambda k, m: (1 - p) * sum(p ** (d - 1) / d for d in range(m, k + 1)) + p**k / k
+    parts = F.array(*(F.array(*(F.lit(part(k, m)) for m in range(1, k + 1))) for k in range(1, depth + 1)))
+
+    def overlap(a: Column, b: Column) -> Column:
+        row = F.element_at(parts, F.greatest(F.size(a), F.size(b)))
+        places = F.transform(a, lambda x, i: F.struct((i + 1).alias("i"), F.array_position(b, x).cast("int").alias("j")))
+        return let(row, lambda w: F.aggregate(places, F.lit(0.0), lambda s, r: s + F.when(r["j"] > 0, F.element_at(w, F.greatest(r["i"], r["j"]))).otherwise(0.0)))
+
+    return mean_of(F.flatten(F.transform(lists, lambda a, i: F.transform(F.slice(lists, i + 2, F.size(lists)), lambda b: overlap(a, b)))))
 
 
 def rank_biased_overlap(ranking: DataFrame, depth: int = 10, p: float = 0.9) -> DataFrame:
-    """(qid, rbo): mean extrapolated overlap of pairs of presentations to `depth`: (1-p) * sum of A_d p^(d-1) + A_depth p^depth."""
-    top = ranking.where(F.col("rnk") < depth)
-    n = top.groupBy("qid", "perm_idx").agg(F.count("*").alias("n"))
-    a, b = (top.select("qid", "docid", F.col("perm_idx").alias(f"perm_{x}"), F.col("rnk").alias(f"r{x}")) for x in "ab")
-    # a shared document counts from the deeper of its two ranks on
-    shared = a.join(b, ["qid", "docid"]).where("perm_a < perm_b").select("qid", "perm_a", "perm_b", F.greatest("ra", "rb").alias("m"))
-    counts = shared.groupBy("qid", "perm_a", "perm_b").agg(F.collect_list("m").alias("m"))
-    spine = n.select("qid", F.col("perm_idx").alias("perm_a"), F.col("n").alias("na")).join(n.select("qid", F.col("perm_idx").alias("perm_b"), F.col("n").alias("nb")), "qid").where("perm_a < perm_b")
-    full = spine.join(counts, ["qid", "perm_a", "perm_b"], "left").withColumn("k", F.least(F.lit(depth), F.greatest("na", "nb")))
-    agreement = lambda d: F.size(F.filter(F.coalesce("m", F.array().cast("array<bigint>")), lambda m: m < d)) / d
-    series = F.aggregate(F.sequence(F.lit(1), F.col("k").cast("int")), F.lit(0.0), lambda s, d: s + agreement(d) * F.pow(F.lit(p), d - 1))
-    return full.select("qid", ((1 - p) * series + agreement(F.col("k")) * F.pow(F.lit(p), F.col("k"))).alias("rbo")).groupBy("qid").agg(F.avg("rbo").alias("rbo"))
+    """(qid, rbo): mean `overlap_of` pairs of presentations; no row for one presentation."""
+    top = ranking.where(F.col("rnk") < depth).groupBy("qid", "perm_idx").agg(F.sort_array(F.collect_list(F.struct("rnk", "docid"))).alias("x"))
+    lists = top.groupBy("qid").agg(F.collect_list(F.col("x")["docid"]).alias("lists")).where(F.size("lists") > 1)
+    return lists.select("qid", overlap_of(F.col("lists"), depth, p).alias("rbo"))
 
 
 def aligned_summary(log: DataFrame, cutoff: int = 10) -> DataFrame:
-    """Per query, of scores aligned over presentations: variances (all, after each presentation's mean is taken out, of the order means), dispersion, adjacent margins of the mean order, tie rate, percentiles."""
-    w_doc, w_perm = Window.partitionBy("qid", "docid"), Window.partitionBy("qid", "perm_idx")
-    rows = log.withColumn("dm", F.avg("score").over(w_doc)).withColumn("pm", F.avg("score").over(w_perm)).withColumn("gm", F.avg("score").over(Window.partitionBy("qid")))
-    moments = rows.groupBy("qid").agg(
-        F.avg(F.pow(F.col("score") - F.col("dm"), 2)).alias("residual_variance"), F.avg(F.pow(F.col("score") - F.col("dm") - F.col("pm") + F.col("gm"), 2)).alias("centred_variance"),
-        F.var_pop("pm").alias("order_variance"), F.percentile("score", F.lit(0.1)).alias("p10"), F.percentile("score", F.lit(0.5)).alias("p50"), F.percentile("score", F.lit(0.9)).alias("p90"),
-    )
-    means = log.groupBy("qid", "docid").agg(F.avg("score").alias("m"))
-    down = Window.partitionBy("qid").orderBy(F.desc("m"), "docid")
-    means = means.withColumn("r", F.row_number().over(down)).withColumn("margin", F.col("m") - F.lead("m").over(down))
-    margins = means.groupBy("qid").agg(
-        F.var_pop("m").alias("dispersion"), F.avg("margin").alias("margin_mean"), F.percentile("margin", F.lit(0.5)).alias("margin_median"), F.avg(F.when(F.col("r") < cutoff, F.col("margin"))).alias("margin_top"),
-        F.max(F.when(F.col("r") == cutoff, F.col("margin"))).alias("margin_cutoff"), F.avg((F.col("margin") == 0).cast("int")).alias("tie_rate"),
-    )
-    joined = moments.join(margins, "qid")
-    return joined.withColumn("normalized_rmse", F.when(F.col("dispersion") > 0, F.sqrt(F.col("residual_variance") / F.col("dispersion"))))
+    """Per query, 21 figures of scores aligned over presentations.
+
+    Variances are of the population: of a document's scores over presentations (residual), after each presentation's mean is taken out (centred), of documents within a
+    presentation (dispersion), of documents' mean scores (order). Margins are those of adjacent ranks in each presentation by itself: all, among the first `cutoff`, and
+    behind it. Queries without two documents and two presentations, or that lack a score, keep their row, with both counts and else nulls.
+    """
+    in_perm = Window.partitionBy("qid", "perm_idx")
+    order = in_perm.orderBy(F.desc("score"), "docid")
+    rows = log.withColumn("rnk", (F.row_number().over(order) - 1).cast("bigint")).withColumn("margin", F.col("score") - F.lead("score").over(order))
+    rows = rows.withColumn("pm", F.avg("score").over(in_perm)).withColumn("pv", F.var_pop("score").over(in_perm))
+    figures = F.var_pop("score").alias("rv"), F.var_pop(F.col("score") - F.col("pm")).alias("cv"), F.avg("score").alias("dm"), F.count(F.when(~F.isnan("score"), 1)).alias("ns")
+    rows = by_query(rows, *figures, carry=("margin", "score", "pv")).withColumn("flat", F.flatten("docs.x"))
+    ranked = F.transform("docs", lambda d: F.transform(F.filter(d["x"], lambda y: y["rnk"] < cutoff), lambda y: F.struct(y["perm_idx"].alias("p"), y["rnk"].alias("rnk"), d["docid"].alias("docid"))))
+    lists = let(F.sort_array(F.flatten(ranked)), lambda top: F.transform("perms", lambda p: F.filter(top, lambda y: y["p"] == p)["docid"]))
+    values = lambda test, field="margin": F.sort_array(F.array_compact(F.filter("flat", test)[field]))
+    rows = rows.withColumn("all", values(lambda r: F.lit(True))).withColumn("top", values(lambda r: r["rnk"] < cutoff - 1)).withColumn("behind", values(lambda r: r["rnk"] == cutoff - 1)).withColumn("scores", values(lambda r: F.lit(True), "score"))
+    aligned = (F.size("docs") > 1) & (F.size("perms") > 1) & is_full(F.col("docs"), F.col("perms")) & F.forall("docs", lambda d: d["ns"] == F.size("perms"))
+    c = F.col
+    found = {
+        "tau_psi": tau_psi(tau_of(c("docs"), c("perms"))), "rbo": let(lists, lambda x: overlap_of(x, cutoff)), "residual_variance": mean_of(c("docs.rv")), "centred_variance": mean_of(c("docs.cv")),
+        "dispersion_variance": mean_of(c("flat.pv")), "dispersion": mean_of(F.transform("flat", lambda r: F.sqrt(r["pv"]))), "order_variance": let(mean_of(c("docs.dm")), lambda m: mean_of(F.transform("docs.dm", lambda v: (v - m) * (v - m)))),
+        "margin_mean": mean_of(c("all")), "margin_median": quantile_of(c("all"), 0.5), "margin_top_mean": mean_of(c("top")), "margin_top_median": quantile_of(c("top"), 0.5), "margin_cutoff_mean": mean_of(c("behind")),
+        "margin_cutoff_median": quantile_of(c("behind"), 0.5), "tie_rate": mean_of(F.transform("all", lambda m: (m == 0).cast("int"))), **{f"p{q}": quantile_of(c("scores"), q / 100) for q in (10, 50, 90)},
+    }
+    out = rows.select("qid", F.size("docs").alias("n_documents"), F.size("perms").alias("n_presentations"), *(F.when(aligned, v).alias(n) for n, v in found.items()))
+    return out.withColumn("rbo_instability", 1 - F.col("rbo")).withColumn("normalized_rmse", F.when(F.col("dispersion_variance") > 0, F.sqrt(F.col("centred_variance") / F.col("dispersion_variance"))))
 
 
 def invariance(log: DataFrame) -> DataFrame:

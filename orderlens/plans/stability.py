@@ -76,22 +76,23 @@ register(
     "psi_evaluate_aggregate", lambda s, d: q.over_queries(evaluated(s, d), FIGURES.split()),
     " UNION ALL ".join(f"SELECT '{m}' AS measure, avg({m}) AS mean, coalesce(stddev_samp({m}), 0) AS std, count({m}) AS n FROM evaluated" for m in FIGURES.split()), "n", "mean std", "measure",
 )
-register(
-    "psi_rank_biased_overlap", lambda s, d: t.rank_biased_overlap(ranking(s, d)),
-    """SELECT qid, avg(rbo) AS rbo FROM (SELECT x.qid, x.pa, x.pb, 0.1 * sum(a * pow(0.9, d - 1)) + max(CASE WHEN d = k THEN a * pow(0.9, k) END) AS rbo FROM (
+RELATIONS["rbos"] = """SELECT qid, avg(rbo) AS rbo FROM (SELECT x.qid, x.pa, x.pb, 0.1 * sum(a * pow(0.9, d - 1)) + max(CASE WHEN d = k THEN a * pow(0.9, k) END) AS rbo FROM (
         SELECT s.qid, s.pa, s.pb, s.k, t.d, (SELECT count(*) FROM ranked u JOIN ranked v ON u.qid = v.qid AND u.docid = v.docid WHERE u.qid = s.qid AND u.perm_idx = s.pa AND v.perm_idx = s.pb AND u.rnk < t.d AND v.rnk < t.d) / CAST(t.d AS DOUBLE) AS a
-        FROM (SELECT p.qid, a.perm_idx AS pa, b.perm_idx AS pb, least(10, p.n) AS k FROM (SELECT qid, count(*) AS n FROM pool GROUP BY qid) p JOIN perms a ON true JOIN perms b ON a.perm_idx < b.perm_idx) s, (SELECT range AS d FROM range(1, 11)) t WHERE t.d <= s.k) x GROUP BY 1, 2, 3) GROUP BY qid""",
-    "qid", "rbo",
-)
-SUMMARY = "residual_variance centred_variance order_variance p10 p50 p90 dispersion margin_mean margin_median margin_top margin_cutoff tie_rate normalized_rmse"
-RELATIONS["aligned_rows"] = "SELECT *, avg(score) OVER (PARTITION BY qid, docid) AS dm, avg(score) OVER (PARTITION BY qid, perm_idx) AS pm, avg(score) OVER (PARTITION BY qid) AS gm FROM score_log"
-RELATIONS["margins"] = "SELECT *, m - lead(m) OVER (PARTITION BY qid ORDER BY m DESC, docid) AS margin, row_number() OVER (PARTITION BY qid ORDER BY m DESC, docid) AS r FROM (SELECT qid, docid, avg(score) AS m FROM score_log GROUP BY 1, 2)"
+        FROM (SELECT p.qid, a.perm_idx AS pa, b.perm_idx AS pb, least(10, p.n) AS k FROM (SELECT qid, count(*) AS n FROM pool GROUP BY qid) p JOIN perms a ON true JOIN perms b ON a.perm_idx < b.perm_idx) s, (SELECT range AS d FROM range(1, 11)) t WHERE t.d <= s.k) x GROUP BY 1, 2, 3) GROUP BY qid"""
+register("psi_rank_biased_overlap", lambda s, d: t.rank_biased_overlap(ranking(s, d)), "SELECT qid, rbo FROM rbos", "qid", "rbo")
+SUMMARY = "tau_psi rbo rbo_instability residual_variance centred_variance dispersion_variance dispersion order_variance normalized_rmse margin_mean margin_median margin_top_mean margin_top_median margin_cutoff_mean margin_cutoff_median tie_rate p10 p50 p90"
+RELATIONS["aligned_rows"] = """SELECT *, score - lead(score) OVER (PARTITION BY qid, perm_idx ORDER BY score DESC, docid) AS margin, score - avg(score) OVER (PARTITION BY qid, perm_idx) AS centred FROM ranked
+    WHERE qid IN (SELECT qid FROM pool GROUP BY qid HAVING count(*) > 1)"""
 register(
     "psi_aligned_summary", lambda s, d: t.aligned_summary(r.score_log(s, d)),
-    """SELECT a.*, b.* EXCLUDE (qid), CASE WHEN dispersion > 0 THEN sqrt(residual_variance / dispersion) END AS normalized_rmse FROM
-        (SELECT qid, avg(pow(score - dm, 2)) AS residual_variance, avg(pow(score - dm - pm + gm, 2)) AS centred_variance, var_pop(pm) AS order_variance, quantile_cont(score, 0.1) AS p10, quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.9) AS p90 FROM aligned_rows GROUP BY qid) a
-        JOIN (SELECT qid, var_pop(m) AS dispersion, avg(margin) AS margin_mean, quantile_cont(margin, 0.5) AS margin_median, avg(margin) FILTER (WHERE r < 10) AS margin_top, max(margin) FILTER (WHERE r = 10) AS margin_cutoff, avg(CASE WHEN margin = 0 THEN 1.0 WHEN margin <> 0 THEN 0.0 END) AS tie_rate FROM margins GROUP BY qid) b ON a.qid = b.qid""",
-    "qid", SUMMARY,
+    """SELECT n.qid, n.n AS n_documents, 10 AS n_presentations, p.tau_psi, o.rbo, 1 - o.rbo AS rbo_instability, d.residual_variance, d.centred_variance, v.dispersion_variance, v.dispersion, d.order_variance,
+        CASE WHEN dispersion_variance > 0 THEN sqrt(centred_variance / dispersion_variance) END AS normalized_rmse, m.* EXCLUDE (qid) FROM (SELECT qid, count(*) AS n FROM pool GROUP BY qid) n LEFT JOIN psi p ON p.qid = n.qid
+        LEFT JOIN (SELECT * FROM rbos WHERE qid IN (SELECT qid FROM pool GROUP BY qid HAVING count(*) > 1)) o ON o.qid = n.qid
+        LEFT JOIN (SELECT qid, avg(rv) AS residual_variance, avg(cv) AS centred_variance, var_pop(m) AS order_variance FROM (SELECT qid, docid, var_pop(score) AS rv, var_pop(centred) AS cv, avg(score) AS m FROM aligned_rows GROUP BY 1, 2) GROUP BY qid) d ON d.qid = n.qid
+        LEFT JOIN (SELECT qid, avg(v) AS dispersion_variance, avg(sqrt(v)) AS dispersion FROM (SELECT qid, perm_idx, var_pop(score) AS v FROM aligned_rows GROUP BY 1, 2) GROUP BY qid) v ON v.qid = n.qid
+        LEFT JOIN (SELECT qid, avg(margin) AS margin_mean, median(margin) AS margin_median, avg(margin) FILTER (WHERE rnk < 9) AS margin_top_mean, median(margin) FILTER (WHERE rnk < 9) AS margin_top_median, avg(margin) FILTER (WHERE rnk = 9) AS margin_cutoff_mean,
+            median(margin) FILTER (WHERE rnk = 9) AS margin_cutoff_median, avg(CASE WHEN margin = 0 THEN 1.0 WHEN margin <> 0 THEN 0.0 END) AS tie_rate, quantile_cont(score, 0.1) AS p10, quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.9) AS p90 FROM aligned_rows GROUP BY qid) m ON m.qid = n.qid""",
+    "qid n_documents n_presentations", SUMMARY,
 )
 register("psi_corpus_tau_psi", lambda s, d: t.mean_tau(ranking(s, d)).agg(F.avg(t.tau_psi(F.col("tau"))).alias("tau_psi"), F.count("tau").alias("n")), "SELECT avg(tau_psi) AS tau_psi, count(tau_psi) AS n FROM psi", "n", "tau_psi")
 register("psi_training_invariance", lambda s, d: t.invariance(r.score_log(s, d)), "SELECT qid, avg(v) AS mean_variance, quantile_cont(v, 0.5) AS median_variance FROM (SELECT qid, docid, coalesce(var_samp(score), 0) AS v FROM score_log GROUP BY 1, 2) GROUP BY qid", "qid", "mean_variance median_variance")
