@@ -69,23 +69,50 @@ COMPONENTS = "qid bigint, n bigint, total double, document double, slot double,
 
 
 def fixed_effects(rows: DataFrame) -> DataFrame:
-    """Per query, of score ~ document + slot + chunk: the total variance and what nested least-squares fits explain. Each query is solved by itself in one Arrow group."""
+    """Per query, of score ~ document + slot + chunk: the total variance and what nested least-squares fits explain; rows without a score are left out.
+
+    Documents are taken out by their means, which leaves normal equations as small as the number of slots and chunks. Queries come as one row each, in Arrow batches.
+    """
+    from collections.abc import Iterator
+
     import pandas as pd
 
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+    names = [c.split(" ")[0] for c in COMPONENTS.split(", ")]
+
+    def explained(doc, y, columns):
+        """What dummies of the columns explain of the sum of squares within documents."""
+        import numpy as np
+
+        codes = [np.unique(c, return_inverse=True)[1] for c in columns]
+        widths = [int(c.max()) + 1 for c in codes]
+        n, p = int(doc.max()) + 1, sum(widths)
+        starts = np.cumsum([0, *widths[:-1]])
+        cells, gram, b = np.zeros((n, p)), np.zeros((p, p)), np.zeros(p)
+        for c, s in zip(codes, starts, strict=True):
+            np.add.at(cells, (doc, c + s), 1.0)
+            np.add.at(b, c + s, y)
+            for d, r in zip(codes, starts, strict=True):
+                np.add.at(gram, (c + s, d + r), 1.0)
+        gram -= cells.T @ (cells / np.bincount(doc, minlength=n)[:, None])
+        return float(b @ np.linalg.pinv(gram, rcond=1e-10, hermitian=True) @ b)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        y = frame["score"].to_numpy()
-        dummies = lambda c: (frame[c].to_numpy()[:, None] == np.unique(frame[c])[None, :]).astype(float)
-        parts = [np.ones((len(y), 1))]
-        left = [float(((y - y.mean()) ** 2).mean())]
-        for c in ("docid", "slot", "chunk"):
-            parts.append(dummies(c))
-            x = np.hstack(parts)
-            left.append(float(((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).mean()))
-        return pd.DataFrame([[frame["qid"].iloc[0], len(y), left[0], left[0] - left[1], left[1] - left[2], left[2] - left[3], left[3]]], columns=[c.split(" ")[0] for c in COMPONENTS.split(", ")])
-
-    return rows.select("qid", "docid", "slot", "chunk", "score").groupBy("qid").applyInPandas(solve, COMPONENTS)
+        for batch in batches:
+            out = []
+            for qid, docs, slot, chunk, score in batch.itertuples(index=False, name=None):
+                y = np.asarray(score, float)
+                doc = np.unique(docs, return_inverse=True)[1]
+                within = y - (np.bincount(doc, y) / np.bincount(doc))[doc]
+                total, left = float(y.var()), float(within @ within) / len(y)
+                one, two = (explained(doc, within, columns) / len(y) for columns in ([slot], [slot, chunk]))
+                out.append((qid, len(y), total, total - left, one, two - one, left - two))
+            yield pd.DataFrame(out, columns=names)
+
+    columns = ["docid", "slot", "chunk", "score"]
+    per = rows.where("score is not null").groupBy("qid").agg(*(F.collect_list(c).alias(c) for c in columns))
+    return per.mapInPandas(solve, COMPONENTS)
 
 
 def document_effect(rows: DataFrame) -> DataFrame:

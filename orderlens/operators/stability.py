@@ -208,7 +208,7 @@ def aligned_summary(log: DataFrame, cutoff: int = 10) -> DataFrame:
     order = in_perm.orderBy(F.desc("score"), "docid")
     rows = log.withColumn("rnk", (F.row_number().over(order) - 1).cast("bigint")).withColumn("margin", F.col("score") - F.lead("score").over(order))
     rows = rows.withColumn("pm", F.avg("score").over(in_perm)).withColumn("pv", F.var_pop("score").over(in_perm))
-    figures = F.var_pop("score").alias("rv"), F.var_pop(F.col("score") - F.col("pm")).alias("cv"), F.avg("score").alias("dm"), F.count(F.when(~F.isnan("score"), 1)).alias("ns")
+    figures = F.var_pop("score").alias("rv"), F.var_pop(F.col("score") - F.col("pm")).alias("cv"), F.avg("score").alias("dm"), F.count(F.nanvl("score", F.lit(None).cast("double"))).alias("ns")
     rows = by_query(rows, *figures, carry=("margin", "score", "pv")).withColumn("flat", F.flatten("docs.x"))
     ranked = F.transform("docs", lambda d: F.transform(F.filter(d["x"], lambda y: y["rnk"] < cutoff), lambda y: F.struct(y["perm_idx"].alias("p"), y["rnk"].alias("rnk"), d["docid"].alias("docid"))))
     lists = let(F.sort_array(F.flatten(ranked)), lambda top: F.transform("perms", lambda p: F.filter(top, lambda y: y["p"] == p)["docid"]))

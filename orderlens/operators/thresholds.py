@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .stability import let, mean_of, mean_tau, tau_psi
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
@@ -25,14 +27,21 @@ def spread(quality: DataFrame, *by: str) -> DataFrame:
     return quality.groupBy(*by, "qid").agg(*(F.avg(c).alias(f"{c}_mean") for c in ("p", "r", "f1")), *(F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std") for c in ("p", "r", "f1")), F.avg("retention").alias("retention"))
 
 
+def jaccard_of(sets: Column) -> Column:
+    """Mean Jaccard over pairs of an array of sets; two empty sets are equal; null below two sets."""
+    likeness = lambda a, b: let(F.size(F.array_intersect(a, b)), lambda n: F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(n / (F.size(a) + F.size(b) - n)))
+    return mean_of(F.flatten(F.transform(sets, lambda a, i: F.transform(F.slice(sets, i + 2, F.size(sets)), lambda b: likeness(a, b)))))
+
+
+def retained() -> Column:
+    """The documents of a presentation with score >= tau; documents stand once in it."""
+    return F.collect_list(F.when(F.col("score") >= F.col("tau"), F.col("docid")))
+
+
 def jaccard(log: DataFrame, *by: str) -> DataFrame:
-    """(by, qid, jaccard): mean Jaccard of the sets over pairs of presentations; two empty sets are equal. Sets are compared inside a query as bit masks of presentations."""
-    sets = log.groupBy(*by, "qid", "perm_idx").agg(F.collect_list(F.when(F.col("score") >= F.col("tau"), F.col("docid"))).alias("s"))
-    per = sets.groupBy(*by, "qid").agg(F.array_sort(F.collect_list(F.struct("perm_idx", "s"))).alias("sets"))
-    one, other = (per.select(*by, "qid", F.posexplode("sets").alias(f"i{x}", f"s{x}")) for x in "ab")
-    pairs = one.join(other, [*by, "qid"]).where("ia < ib")
-    both, either = F.size(F.array_intersect("sa.s", "sb.s")), F.size(F.array_union("sa.s", "sb.s"))
-    return pairs.groupBy(*by, "qid").agg(F.avg(F.when(either == 0, 1.0).otherwise(both / either)).alias("jaccard"))
+    """(by, qid, jaccard): mean Jaccard of the sets over pairs of presentations; two empty sets are equal; no row for one presentation."""
+    per = log.groupBy(*by, "qid", "perm_idx").agg(retained().alias("s")).groupBy(*by, "qid").agg(F.collect_list("s").alias("sets"))
+    return per.where(F.size("sets") > 1).select(*by, "qid", jaccard_of(F.col("sets")).alias("jaccard"))
 
 
 def flip_rate(log: DataFrame, *by: str) -> DataFrame:
@@ -41,6 +50,45 @@ def flip_rate(log: DataFrame, *by: str) -> DataFrame:
     return per.groupBy(*by, "qid").agg((F.count(F.when((F.col("m") > 0) & (F.col("m") < 1), 1)) / F.nullif(F.count(F.when(F.col("m") > 0, 1)), F.lit(0))).alias("flip_rate"))
 
 
+#: What `at_threshold` gives of a query, beside its id.
+FIGURES = (
+    "jaccard flip_rate p_mean p_std r_mean r_std f1_mean f1_std retention_mean retention_std canonical_p canonical_r canonical_f1 canonical_retention n_retained n_candidates score_variance tau tau_psi"
+).split()
+
+
+def at_threshold(judged_log: DataFrame, first: int = 64) -> DataFrame:
+    """(qid, FIGURES) of a ranked and judged log at its column tau, a row a query.
+
+    Set stability, precision, recall, F1 and retention over presentations (means and sample deviations, 0 for one) and of the canonical presentation 0, candidates, the mean
+    variance of a document's scores (of those with two), and order instability over presentations below `first`. Jaccard and flip rate need two presentations.
+    """
+    kept, positive = (F.col("score") >= F.col("tau")).cast("bigint"), (F.col("rel") > 0).cast("bigint")
+    sums = judged_log.groupBy("qid", "perm_idx").agg(F.sum(kept).alias("kept"), F.sum(positive).alias("positive"), F.sum(kept * positive).alias("hit"), F.count("*").alias("n"), retained().alias("s"))
+    p, r = ratio(F.col("hit"), F.col("kept")), ratio(F.col("hit"), F.col("positive"))
+    rows = sums.select("qid", "perm_idx", "s", "n", "kept", p.alias("p"), r.alias("r"), ratio(2 * p * r, p + r).alias("f1"), ratio(F.col("kept"), F.col("n")).alias("retention"))
+    names = ["p", "r", "f1", "retention"]
+    canonical = lambda c: F.max(F.when(F.col("perm_idx") == 0, F.col(c)))
+    per = rows.groupBy("qid").agg(
+        *(F.avg(c).alias(f"{c}_mean") for c in names), *(F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std") for c in names), *(canonical(c).alias(f"canonical_{c}") for c in names),
+        canonical("kept").alias("n_retained"), F.max("n").alias("n_candidates"), F.collect_list("s").alias("sets"),
+    )
+    ever, always = F.size(F.array_distinct(F.flatten("sets"))), F.size(F.aggregate("sets", F.get("sets", F.lit(0)), lambda a, b: F.array_intersect(a, b)))
+    several = F.size("sets") > 1
+    per = per.withColumn("jaccard", F.when(several, jaccard_of(F.col("sets")))).withColumn("flip_rate", F.when(several & (ever > 0), (ever - always) / ever)).drop("sets")
+    variance = judged_log.groupBy("qid", "docid").agg(F.var_pop("score").alias("v"), F.count("score").alias("c")).groupBy("qid").agg(F.avg(F.when(F.col("c") > 1, F.col("v"))).alias("score_variance"))
+    taus = mean_tau(judged_log.where(F.col("perm_idx") < first).select("qid", "perm_idx", "docid", "rnk")).withColumn("tau_psi", tau_psi(F.col("tau")))
+    return per.join(variance, "qid", "left").join(taus, "qid", "left").select("qid", *FIGURES)
+
+
+def decoupling(per_query: DataFrame) -> DataFrame:
+    """(pair, n, rho): Spearman of set churn, order instability and score variance, two by two, over queries that have all three."""
+    rows = per_query.select((1 - F.col("jaccard")).alias("churn"), "tau_psi", F.col("score_variance").alias("variance")).na.drop()
+    rows = rows.select(*(F.round(c, 9).alias(c) for c in rows.columns))  # equal values differ by nothing
+    pairs = [("churn", "tau_psi"), ("churn", "variance"), ("tau_psi", "variance")]
+    both = F.explode(F.array(*(F.struct(F.lit(f"{a}:{b}").alias("pair"), F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs)))
+    return spearman(rows.select(both.alias("_x")).select("_x.*"), "a", "b", "pair")
+
+
 def grid(log: DataFrame, n: int) -> DataFrame:
     """tau from the least finite score to the greatest in n equal steps, and its number; a table of n rows."""
     bounds = log.where(F.col("score").isNotNull() & ~F.isnan("score")).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))

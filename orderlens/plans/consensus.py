@@ -109,17 +109,22 @@ register(
 
 
 def frozen(s, d):
-    rows = judged(s, d)
-    return h.spread(h.set_quality(rows)).join(h.jaccard(rows), "qid", "left").join(h.flip_rate(rows), "qid", "left")
+    return h.at_threshold(q.judged(r.ranked(log(s, d)), r.qrels(s, d)).withColumn("tau", F.lit(TAU)))
 
 
-RELATIONS["frozen_rows"] = "SELECT s.*, j.jaccard, f.flip_rate FROM (SELECT qid, avg(p) AS p_mean, avg(r) AS r_mean, avg(f1) AS f1_mean, coalesce(stddev_samp(f1), 0) AS f1_std, avg(retention) AS retention FROM set_rows GROUP BY qid) s LEFT JOIN jaccards j ON j.qid = s.qid LEFT JOIN flips f ON f.qid = s.qid"
+RELATIONS["frozen_rows"] = """SELECT s.*, j.jaccard, f.flip_rate, v.score_variance, p.tau, p.tau_psi FROM (SELECT qid, avg(p) AS p_mean, avg(r) AS r_mean, avg(f1) AS f1_mean, avg(retention) AS retention_mean, coalesce(stddev_samp(p), 0) AS p_std, coalesce(stddev_samp(r), 0) AS r_std, coalesce(stddev_samp(f1), 0) AS f1_std,
+    coalesce(stddev_samp(retention), 0) AS retention_std, max(p) FILTER (WHERE perm_idx = 0) AS canonical_p, max(r) FILTER (WHERE perm_idx = 0) AS canonical_r, max(f1) FILTER (WHERE perm_idx = 0) AS canonical_f1, max(retention) FILTER (WHERE perm_idx = 0) AS canonical_retention FROM set_rows GROUP BY qid) s
+    LEFT JOIN jaccards j ON j.qid = s.qid LEFT JOIN flips f ON f.qid = s.qid LEFT JOIN psi p ON p.qid = s.qid LEFT JOIN (SELECT qid, avg(variance) AS score_variance FROM (SELECT qid, docid, var_pop(score) AS variance FROM score_log GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY qid) v ON v.qid = s.qid"""
+RELATIONS["frozen_all"] = "SELECT f.*, n.n_candidates, n.n_retained FROM frozen_rows f JOIN (SELECT qid, count(*) AS n_candidates, count(*) FILTER (WHERE score >= tau) AS n_retained FROM fixed_tau WHERE perm_idx = 0 GROUP BY qid) n ON n.qid = f.qid"
+register("threshold_at_frozen_per_query", frozen, f"SELECT qid, {', '.join(h.FIGURES)} FROM frozen_all", "qid n_retained n_candidates", " ".join(f for f in h.FIGURES if f[:2] != "n_"))
 register(
-    "threshold_evaluate_frozen", lambda s, d: q.over_queries(frozen(s, d), ["p_mean", "r_mean", "f1_mean", "f1_std", "retention", "jaccard", "flip_rate"]),
-    " UNION ALL ".join(f"SELECT '{m}' AS measure, avg({m}) AS mean, coalesce(stddev_samp({m}), 0) AS std, count({m}) AS n FROM frozen_rows" for m in ("p_mean", "r_mean", "f1_mean", "f1_std", "retention", "jaccard", "flip_rate")), "n", "mean std", "measure",
+    "threshold_evaluate_frozen", lambda s, d: q.over_queries(frozen(s, d), h.FIGURES),
+    " UNION ALL ".join(f"SELECT '{m}' AS measure, avg({m}) AS mean, coalesce(stddev_samp({m}), 0) AS std, count({m}) AS n FROM frozen_all" for m in h.FIGURES), "n", "mean std", "measure",
 )
-RANKS = "SELECT count(*) AS n, CASE WHEN count(*) >= 3 AND var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x, y) END AS rho FROM (SELECT rank() OVER (ORDER BY jaccard) + (count(*) OVER (PARTITION BY jaccard) - 1) / 2.0 AS x, rank() OVER (ORDER BY f1_mean) + (count(*) OVER (PARTITION BY f1_mean) - 1) / 2.0 AS y FROM (SELECT round(jaccard, 9) AS jaccard, round(f1_mean, 9) AS f1_mean FROM frozen_rows WHERE jaccard IS NOT NULL))"
-register("threshold_decoupling_spearman", lambda s, d: h.spearman(frozen(s, d).select(F.round("jaccard", 9).alias("jaccard"), F.round("f1_mean", 9).alias("f1_mean")), "jaccard", "f1_mean"), RANKS, "n", "rho")
+CHURN = "SELECT round(1 - jaccard, 9) AS churn, round(tau_psi, 9) AS tau_psi, round(score_variance, 9) AS variance FROM frozen_all WHERE jaccard IS NOT NULL AND tau_psi IS NOT NULL AND score_variance IS NOT NULL"
+RELATIONS["churns"] = CHURN
+RANKS = "SELECT '{a}:{b}' AS pair, count(*) AS n, CASE WHEN count(*) >= 3 AND var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x, y) END AS rho FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS x, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS y FROM churns)"
+register("threshold_decoupling_spearman", lambda s, d: h.decoupling(frozen(s, d)), " UNION ALL ".join(RANKS.format(a=a, b=b) for a, b in (("churn", "tau_psi"), ("churn", "variance"), ("tau_psi", "variance"))), "n", "rho", "pair", digits=9)
 register("threshold_repeat_single", lambda s, d: h.repeat_single(log(s, d), 3).groupBy("qid", "perm_idx").agg(F.sum("score").alias("total"), F.count("*").alias("n")), "SELECT s.qid, g.perm_idx, sum(score) AS total, count(*) AS n FROM score_log s, perms g WHERE s.perm_idx = 0 AND g.perm_idx < 3 GROUP BY 1, 2", "qid perm_idx n", "total")
 
 

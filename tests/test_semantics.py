@@ -310,3 +310,44 @@ def test_bm25_query_searches_for_every_item(spark, tmp_path):
     read = lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")
     by_shuffles = formats.bm25(read("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), read("documents"), "doc_id", "text", 10, most=0)
     assert {(r.qid, r.docid, r["rank"]) for r in by_shuffles.collect()} == got
+
+
+def test_fixed_effects_equal_dense_least_squares(spark, sf):
+    from orderlens.sources import relations as r
+
+    rows = decomposition.slots(r.score_log(spark, sf), 5).where("(docid + perm_idx) % 7 <> 0").cache()  # presentations that lack documents
+    want = {}
+    for qid, g in rows.toPandas().groupby("qid"):
+        y, x = g["score"].to_numpy(), np.ones((len(g), 1))
+        left = [y.var()]
+        for c in ("docid", "slot", "chunk"):
+            x = np.hstack([x, (g[c].to_numpy()[:, None] == np.unique(g[c])[None, :]).astype(float)])
+            left.append(((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).mean())
+        want[qid] = [left[0], left[0] - left[1], left[1] - left[2], left[2] - left[3], left[3]]
+    got = {r.qid: [r.total, r.document, r.slot, r.chunk, r.residual] for r in decomposition.fixed_effects(rows).collect()}
+    assert got.keys() == want.keys() and len(got) > 50
+    for qid in want:
+        assert got[qid] == pytest.approx(want[qid], abs=1e-10)
+    shares = decomposition.shares(decomposition.fixed_effects(rows)).first()
+    slot, chunk, rest, total = (sum(w[i] for w in want.values()) for i in (2, 3, 4, 0))
+    assert [shares.pooled, shares.slot_share, shares.chunk_share] == pytest.approx([(slot + chunk + rest) / total, slot / (slot + chunk + rest), chunk / (slot + chunk + rest)])
+
+
+def test_aligned_summary_of_queries_that_lack_scores(spark):
+    rows = [(1, 0, 1, 0.5), (1, 0, 2, 0.25), (1, 1, 1, 0.5), (2, 0, 1, 1.0), (2, 1, 1, 2.0), (3, 0, 1, 1.0), (3, 0, 2, None), (3, 1, 1, 1.0), (3, 1, 2, 0.0)]
+    rows += [(4, 0, 1, 3.0), (4, 0, 2, 1.0), (4, 1, 1, 2.0), (4, 1, 2, 2.0)]
+    found = {r.qid: r for r in stability.aligned_summary(spark.createDataFrame(rows, "qid bigint, perm_idx bigint, docid bigint, score double")).collect()}
+    assert all(found[q].p50 is None and found[q].rbo is None for q in (1, 2, 3))
+    assert (found[1].n_documents, found[1].n_presentations, found[2].n_documents) == (2, 2, 1)
+    one = found[4]
+    assert (one.residual_variance, one.centred_variance, one.dispersion_variance, one.dispersion, one.order_variance) == (0.25, 0.25, 0.5, 0.5, 0.25)
+    assert (one.margin_mean, one.tie_rate, one.margin_cutoff_mean, one.tau_psi, one.rbo) == (1.0, 0.5, None, 0.0, pytest.approx(1))
+
+
+def test_study_of_queries_without_judgments(spark):
+    qrels = spark.createDataFrame([(1, 2, 1), (1, 2, 2)], "qid bigint, docid bigint, rel int")
+    order = rankings(spark, [1, 2, 3], [2, 1, 3]).unionByName(rankings(spark, [5, 6], qid=2)).withColumn("position", F.col("rnk"))
+    found = {r.qid: r for r in stability.evaluate(order, qrels).collect()}
+    assert found[1].k == 2 and found[1].greatest == 1 and found[1].least == pytest.approx(1 / math.log2(3))
+    assert found[1].tau == pytest.approx(1 / 3)
+    assert (found[2].k, found[2].ndcg, found[2].tau, found[2].gold_rank_variance, found[2].zeng_psi) == (1, 0, None, None, None)
