@@ -75,8 +75,9 @@ def normal_cdf(z: Column) -> Column:
 
 
 def equivalence(estimate: Column, se: Column, margin: float) -> Column:
-    """The larger p-value of the two one-sided tests that an effect lies within the margin."""
-    return F.greatest(1 - normal_cdf((estimate + margin) / se), normal_cdf((estimate - margin) / se))
+    """The larger p-value of the two one-sided tests that an effect lies within the margin; without any error 0 inside it and else 1."""
+    tests = F.greatest(1 - normal_cdf((estimate + margin) / se), normal_cdf((estimate - margin) / se))
+    return F.when(se == 0, F.when(F.abs(estimate) < margin, 0.0).when(F.abs(estimate) >= margin, 1.0)).otherwise(tests)
 
 
 def contrast(estimate: Column, lo: Column, hi: Column, wins: Column, n: Column) -> Column:

@@ -351,3 +351,9 @@ def test_study_of_queries_without_judgments(spark):
     assert found[1].k == 2 and found[1].greatest == 1 and found[1].least == pytest.approx(1 / math.log2(3))
     assert found[1].tau == pytest.approx(1 / 3)
     assert (found[2].k, found[2].ndcg, found[2].tau, found[2].gold_rank_variance, found[2].zeng_psi) == (1, 0, None, None, None)
+
+
+def test_equivalence_without_error(spark):
+    rows = spark.createDataFrame([(0.01, 0.0), (0.05, 0.0), (-0.2, 0.0), (0.0, 0.01), (None, 0.0)], "m double, se double")
+    found = [r[0] for r in rows.select(statistics.equivalence(F.col("m"), F.col("se"), 0.05)).collect()]
+    assert found[:3] == [0.0, 1.0, 1.0] and found[3] < 1e-5 and found[4] is None
