@@ -6,8 +6,8 @@ context's vector with each class's, normalised over all classes, gives the class
 word that is not known has instead its smoothed share of its class, from counts over the whole corpus. As context, words that are not known have vectors by their first
 bytes.
 
-Each task learns from a part of all positions of its training texts (one in `stride` in the mean), so examples grow with the corpus; class noise is shared by a step's
-examples, word noise is drawn inside the class. Learned vectors are averaged over tasks, each weighing as often as it was learned, in blocks of ids; only the average comes
+Each task learns from all positions of its training texts, each once, in random order (again only if they are too few; a `stride` other than 1 asks for fewer); class noise is
+shared by a step's examples, word noise, drawn inside the class, by at most SHARED of them. Learned vectors are averaged over tasks, each weighing as often as it was learned, in blocks of ids; only the average comes
 to the driver. Counts of words are gathered from all training texts. The HEAD most frequent words are known to every worker with their counts; the others meet theirs by a
 shuffle, so no frequent word's rows meet in one task.
 """
@@ -35,8 +35,9 @@ WORDS, OFTEN, MEMBERS = 65_536, 4, 256
 OTHERS, FRONTS = 64, 4_096
 #: Tokens of context, length of a vector, noise of a step (classes, shared) and of an example (words).
 WIDTH, VECTOR, CLASS_NOISE, WORD_NOISE = 4, 16, 32, 6
-#: Examples of a step; positions of a task for each example; steps of a task at least; positions that a task gathers before it learns from them.
-EXAMPLES, STRIDE, LEAST_STEPS, GATHERED = 256, 8, 1000, 4_000_000
+#: Examples of a step, at least and at most, and those of a class that share their noise words; positions of a task for each example (all are examples); steps of a task at
+#: least; positions that a task gathers before it learns from them.
+EXAMPLES, MOST_EXAMPLES, SHARED, STRIDE, LEAST_STEPS, GATHERED = 256, 4096, 16, 1, 1000, 4_000_000
 #: The rate at which a task begins to learn.
 RATE = 0.12
 #: Ids in a block of vectors on their way to the average.
@@ -144,10 +145,10 @@ def fresh(at: Lookup, seed: int = 1) -> dict[str, np.ndarray]:
 
 def spread(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sums of the rows of each id, and the ids."""
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
+    order = np.argsort(ids)
+    ids = ids.take(order)
     starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    return ids[starts], np.add.reduceat(rows[order], starts, axis=0)
+    return ids.take(starts), np.add.reduceat(rows.take(order, axis=0), starts, axis=0)
 
 
 class Learner:
@@ -158,61 +159,75 @@ class Learner:
         self.squares = {n: np.full(len(x), 1e-2, np.float32) for n, x in self.p.items() if n != "place"} | {"place": np.full(self.p["place"].shape, 1e-2, np.float32)}
         self.met = {n: np.zeros(len(x), np.float32) for n, x in self.p.items() if n != "place"}
         self.steps, self.rng = 0, np.random.default_rng(seed + 1)
-        self.class_ends, self.class_log = np.cumsum(at.class_share), np.log(CLASS_NOISE * at.class_share)
+        self.class_ends, self.class_log = np.cumsum(at.class_share), np.log(CLASS_NOISE * at.class_share).astype(np.float32)
         self.word_ends = np.cumsum(at.word_share)
-        self.word_log = np.log(WORD_NOISE * at.word_share)
+        self.word_log = np.log(WORD_NOISE * at.word_share).astype(np.float32)
 
     def move(self, name: str, ids: np.ndarray, grads: np.ndarray, rate: float) -> None:
         ids, grads = spread(ids, grads)
-        self.squares[name][ids] += (grads * grads).mean(axis=1)
-        self.p[name][ids] -= rate * grads / np.sqrt(self.squares[name][ids])[:, None]
+        squares = self.squares[name].take(ids) + np.einsum("ij,ij->i", grads, grads) / np.float32(grads.shape[1])
+        self.squares[name][ids] = squares
+        self.p[name][ids] = self.p[name].take(ids, axis=0) - grads * (np.float32(rate) / np.sqrt(squares))[:, None]
         self.met[name][ids] += 1
 
     def step(self, context: np.ndarray, cls: np.ndarray, word: np.ndarray, rate: float) -> None:
         """One step on examples: context (a row of ids for each), class, and word (-1 if it is not known)."""
-        p, at, rng, e = self.p, self.at, self.rng, len(cls)
-        own = [p["context"][context[:, j]] for j in range(WIDTH)]
-        q = sum(v @ m for v, m in zip(own, p["place"], strict=True))
+        p, at, rng = self.p, self.at, self.rng
+        order = np.argsort(cls.astype(np.int16), kind="stable")  # by class, known words before all others
+        context, cls, word = context.take(order, axis=0).T.copy(), cls.take(order), word.take(order)
+        first = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
+        own = [p["context"].take(ids, axis=0) for ids in context]
+        q = np.ones((len(cls), VECTOR + 1), np.float32)  # the last is for the bias
+        q[:, :-1] = sum(v @ m for v, m in zip(own, p["place"], strict=True))
         sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         false = np.minimum(np.searchsorted(self.class_ends, rng.random(CLASS_NOISE) * self.class_ends[-1], "right"), len(self.class_ends) - 1)
-        c, f = p["class"][cls], p["class"][false]
-        g1 = (sigma((q * c[:, :-1]).sum(axis=1) + c[:, -1] - self.class_log[cls]) - 1).astype(np.float32)
-        g0 = sigma(q @ f[:, :-1].T + f[:, -1] - self.class_log[false]).astype(np.float32)
-        gq = g1[:, None] * c[:, :-1] + g0 @ f[:, :-1]
-        one = lambda g, v: np.concatenate([g[:, None] * v, g[:, None]], axis=1)
-        class_grads = np.concatenate([one(g1, q), np.concatenate([g0.T @ q, g0.sum(axis=0)[:, None]], axis=1)])
-        rows = np.flatnonzero(word >= 0)
-        if len(rows):
-            w, v = word[rows], q[rows]
-            low = np.where(cls[rows] > 0, self.word_ends[np.maximum(cls[rows] * MEMBERS - 1, 0)], 0.0)
-            high = self.word_ends[np.minimum(cls[rows] * MEMBERS + MEMBERS, at.known) - 1]
-            noise = np.searchsorted(self.word_ends, low[:, None] + rng.random((len(rows), WORD_NOISE)) * (high - low)[:, None], "right")
-            noise = np.clip(noise, (cls[rows] * MEMBERS)[:, None], np.minimum(cls[rows] * MEMBERS + MEMBERS, at.known)[:, None] - 1)
-            t, n = p["word"][w], p["word"][noise]
-            h1 = (sigma((v * t[:, :-1]).sum(axis=1) + t[:, -1] - self.word_log[w]) - 1).astype(np.float32)
-            h0 = sigma((n[:, :, :-1] @ v[:, :, None])[:, :, 0] + n[:, :, -1] - self.word_log[noise]).astype(np.float32)
-            gq[rows] += h1[:, None] * t[:, :-1] + (h0[:, None, :] @ n[:, :, :-1])[:, 0]
-            each = np.concatenate([h1[:, None], h0], axis=1).reshape(-1)
-            self.move("word", np.concatenate([w[:, None], noise], axis=1).reshape(-1), one(each, np.repeat(v, WORD_NOISE + 1, axis=0)), rate)
-        self.move("class", np.concatenate([cls, false]), class_grads, rate)
+        c, f = p["class"].take(cls, axis=0), p["class"][false]
+        g1 = (sigma(np.einsum("ij,ij->i", q, c) - self.class_log.take(cls)) - 1)[:, None]
+        g0 = sigma(q @ f.T - self.class_log[false])
+        gq = g1 * c + g0 @ f
+        class_grads = np.concatenate([np.add.reduceat(g1 * q, first), g0.T @ q])
+        m = int(np.searchsorted(cls, at.classes))
+        if m:
+            w, v, k = word[:m], q[:m], cls[:m]
+            place = np.arange(m) - np.repeat(first, np.diff(np.append(first, len(cls))))[:m]
+            starts = np.flatnonzero(place % SHARED == 0)
+            slot = np.repeat(np.arange(len(starts)) * SHARED, np.diff(np.append(starts, m))) + place % SHARED
+            low, high = k[starts] * MEMBERS, np.minimum(k[starts] * MEMBERS + MEMBERS, at.known)
+            from_, to = np.where(low > 0, self.word_ends[np.maximum(low - 1, 0)], 0.0), self.word_ends[high - 1]
+            noise = np.searchsorted(self.word_ends, from_[:, None] + rng.random((len(starts), WORD_NOISE)) * (to - from_)[:, None], "right")
+            noise = np.clip(noise, low[:, None], high[:, None] - 1)
+            t, n = p["word"].take(w, axis=0), p["word"][noise]
+            slots = np.zeros((len(starts), SHARED, VECTOR + 1), np.float32)  # those who share their noise, with empty places
+            slots.reshape(-1, VECTOR + 1)[slot] = v
+            h1 = (sigma(np.einsum("ij,ij->i", v, t) - self.word_log.take(w)) - 1)[:, None]
+            h0 = sigma(slots @ n.transpose(0, 2, 1) - self.word_log[noise][:, None])
+            gq[:m] += h1 * t + (h0 @ n).reshape(-1, VECTOR + 1).take(slot, axis=0)
+            false_grads = h0.transpose(0, 2, 1) @ slots  # empty places are zero
+            self.move("word", np.concatenate([w, noise.reshape(-1)]), np.concatenate([h1 * v, false_grads.reshape(-1, VECTOR + 1)]), rate)
+        self.move("class", np.concatenate([cls[first], false]), class_grads, rate)
+        gq = np.ascontiguousarray(gq[:, :-1])
         back = np.concatenate([gq @ m.T for m in p["place"]])
         grad = np.stack([v.T @ gq for v in own])
-        self.move("context", context.T.reshape(-1), back, rate)
+        self.move("context", context.reshape(-1), back, rate)
         self.squares["place"] += grad * grad
         p["place"] -= rate * 0.2 * grad / np.sqrt(self.squares["place"])
         self.steps += 1
 
     def learn(self, numbers: np.ndarray, starts: np.ndarray, stride: int, least: int) -> None:
-        """Steps on positions of texts, one after the other in numbers, each of which begins at one of starts."""
-        at = self.at
+        """Steps on all positions (with a stride, on one in so many) of texts, one after the other in numbers, each of which begins at one of starts. Positions come in random
+        order, each once before any comes again; they come again only if there are too few for `least` steps."""
+        at, n = self.at, len(numbers)
         cls, ctx = at.split(numbers)
-        word = np.where(numbers < at.known, numbers, -1)
-        begin = np.repeat(starts, np.diff(np.append(starts, len(numbers))))
-        steps = max(least, len(numbers) // (EXAMPLES * stride))
+        cls, ctx = cls.astype(np.int32), ctx.astype(np.int32)
+        word = np.where(numbers < at.known, numbers, -1).astype(np.int32)
+        place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+        place = np.minimum(place, WIDTH).astype(np.int8)
+        size = min(MOST_EXAMPLES, max(EXAMPLES, n // (stride * max(least, 1))))
+        steps = max(least, -(-n // (size * stride)))
+        order, back = self.rng.permutation(n), np.arange(1, WIDTH + 1)
         for s in range(steps):
-            i = self.rng.integers(0, len(numbers), EXAMPLES)
-            before = i[:, None] - np.arange(1, WIDTH + 1)[None, :]
-            context = np.where(before >= begin[i][:, None], ctx[np.maximum(before, 0)], at.begin)
+            i = order.take(np.arange(s * size, (s + 1) * size), mode="wrap")
+            context = np.where(back <= place[i][:, None], ctx[np.maximum(i[:, None] - back, 0)], np.int32(at.begin))
             self.step(context, cls[i], word[i], RATE * (1 - 0.8 * s / steps))
 
     def parts(self) -> Iterator[tuple[str, int, bytes, bytes, bytes]]:

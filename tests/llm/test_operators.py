@@ -343,6 +343,15 @@ def test_lm_is_normalised_and_learns():
     assert scorer.log10(numbers[:3000], starts[:3]).mean() > fresh.log10(numbers[:3000], starts[:3]).mean() + 0.5
 
 
+def test_lm_learns_from_every_position_once():
+    words = [*(f"w{i}".encode() for i in range(9_999)), lm.END_WORD]
+    learner, seen = lm.Learner(lookup_of(words, [9] * 10_000)), []
+    learner.step = lambda context, cls, word, rate: seen.extend(zip(word.tolist(), context.tolist(), strict=True))
+    learner.learn(np.arange(10_000), np.arange(0, 10_000, 100), lm.STRIDE, 5)
+    begin = learner.at.begin
+    assert sorted(seen) == [(i, [i - j if i % 100 >= j else begin for j in range(1, lm.WIDTH + 1)]) for i in range(10_000)]
+
+
 def test_lm_without_learning_is_the_smoothed_unigram():
     words = [*(f"w{i}".encode() for i in range(900)), lm.END_WORD]
     at = lookup_of(words, list(range(1000, 99, -1)), known=300)
