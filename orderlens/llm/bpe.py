@@ -23,8 +23,10 @@ from .common import map_rows, text_of
 REMEMBERED, OVERHEAD, LONGEST = 24_000_000, 160, 48
 #: Bytes of a text that are cut at once, and fragments that are encoded at once, so that a text of any length is encoded in bounded memory.
 STRETCH, BLOCK = 1 << 20, 65_536
-#: Characters of a fragment from which on it is left to the library.
+#: Characters of a fragment, without a single space between others, from which on it is left to the library.
 LONG = 400
+#: A single space between characters that are not white: it always begins a piece. Python's white space holds all that the pre-tokeniser's does.
+SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: Fixed value: the pattern by which the vocabulary's pre-tokeniser finds pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Last bytes of white space in UTF-8, and of the apostrophe: no cut behind them. Some other characters end with such a byte too, which only costs a cut.
@@ -70,7 +72,7 @@ class Vocabulary:
 class Encoder:
     def __init__(self, path: str) -> None:
         self.path, self.vocabulary, self.made = path, Vocabulary(path), None
-        self.merge = self.by_rank() if self.vocabulary.ranked else self.by_library
+        self.ordinary = self.by_rank() if self.vocabulary.ranked else None
         self.known: dict[bytes, bytes] = {}
         self.held = 0
         self.special = re.compile("(" + "|".join(map(re.escape, self.vocabulary.special)) + ")") if self.vocabulary.special else None
@@ -85,13 +87,20 @@ class Encoder:
         return self.made.encode(fragment, add_special_tokens=False).ids
 
     def by_rank(self):
-        """The same ids by merge ranks, with less work for each call; long fragments still go to the library."""
+        """The same ids by merge ranks, with less work for each call."""
         import tiktoken
 
         special = set(self.vocabulary.special.values())
         ranks = {b: i for i, b in enumerate(self.vocabulary.bytes) if i not in special}
-        ordinary = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        return lambda f: ordinary(f) if len(f) <= LONG else self.by_library(f)
+        return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def merge(self, fragment: str) -> list[int]:
+        """By merge ranks if there are any; a long fragment is cut at its single spaces first, and only parts that are long still need the library, whose tables take more memory than all others."""
+        if self.ordinary is None:
+            return self.by_library(fragment)
+        if len(fragment) <= LONG:
+            return self.ordinary(fragment)
+        return [i for part in SPACE.split(fragment) for i in (self.ordinary(part) if len(part) <= LONG else self.by_library(part))]
 
     def fragments(self, raw: bytes) -> Iterator[list[bytes]]:
         """The text's bytes, cut at all certain places, in lists of at most BLOCK fragments."""

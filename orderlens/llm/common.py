@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -82,7 +83,8 @@ def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBat
 
 
 def release() -> None:
-    """Gives memory that a task no longer uses back to the machine; Python workers outlive their tasks."""
+    """Gives memory that a task no longer uses back to the machine, objects that refer to each other included; Python workers outlive their tasks."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

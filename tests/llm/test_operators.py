@@ -1,10 +1,12 @@
 """The operators against brute force, round trips and edge cases."""
 
+import gc
 import hashlib
 import math
 import random
 import re
 import time
+import weakref
 import zlib
 from collections import Counter
 
@@ -293,6 +295,34 @@ def test_long_texts_are_cut_and_encoded_in_parts(monkeypatch):
     assert ids == whole.by_library(text) and mine.held < 5000
 
 
+def test_long_fragments_with_spaces_need_no_library():
+    mine, whole = bpe.Encoder(tokenizer_path()), bpe.Encoder(tokenizer_path())
+    rng = random.Random(5)
+    parts = ["é", "à é", " ", "  ", "'s", " '", "　", "\x1c", "\x85", "中", "1", "a", "!", "\n", " ²", "\u200b", "\U0001f600"]
+    for _ in range(400):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(401, 900)))
+        assert mine.merge(t) == whole.by_library(t)
+    mine.made = None
+    t = " menté" * 200
+    assert mine.merge(t) == whole.by_library(t) and mine.made is None
+
+
+def test_release_frees_what_refers_to_itself():
+    class Own:
+        pass
+
+    gc.collect()
+    gc.disable()
+    try:
+        one = Own()
+        one.self, gone = one, weakref.ref(one)
+        del one
+        common.release()
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
 # 6 language model
 def test_lm_base_and_score(spark, edge, empty):
     texts = {r.doc_id: r.text or "" for r in edge.collect()}
