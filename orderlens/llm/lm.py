@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import counted, cut, fold, release, tables, text_of
+from .common import cut, fold, release, slices, tables, text_of
 
 #: Words whose counts every worker knows, of at most LONGEST bytes each, so that they are bounded in bytes too.
 HEAD, LONGEST = 262_144, 64
@@ -40,6 +41,12 @@ WIDTH, VECTOR, CLASS_NOISE, WORD_NOISE = 4, 16, 32, 6
 EXAMPLES, MOST_EXAMPLES, SHARED, STRIDE, LEAST_STEPS, GATHERED = 256, 4096, 16, 1, 1000, 4_000_000
 #: The rate at which a task begins to learn.
 RATE = 0.12
+#: Rows of an id that are summed one by one with those of all other ids.
+FEW = 4
+#: Contexts of a product when scoring.
+CONTEXTS = 256
+#: Texts that are split at once, at most, and their bytes, but for single texts that have more.
+ROWS, SLICE = 1024, 1 << 22
 #: Ids in a block of vectors on their way to the average.
 BLOCK = 4_096
 #: The end of a text in the table of counts; no word is empty.
@@ -51,24 +58,48 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def tokens_and_end(text: str) -> list[bytes]:
-    return [*tokens(text), END_WORD]
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of texts, each text's as tokens() gives them and then an end, and where each text begins; by Arrow, in less time."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    ended = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(texts, "", " "))  # behind the last space is the empty word
+    lists = pc.ascii_split_whitespace(ended)
+    return lists.flatten().cast(pa.binary()), lists.offsets.to_numpy()[:-1].astype(np.int64)
 
 
-def other_class(word: bytes) -> int:
-    """The class, of OTHERS, of a word that the model does not know."""
-    return zlib.crc32(word[-3:]) % OTHERS
+def words_counted(texts: DataFrame, held: int = 300_000) -> DataFrame:
+    """word (binary) and c, how often each token is there over all rows of texts (text). Tasks count what they read, with at most `held` words and those of a slice at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
+        seen: dict[bytes, int] = {}
 
+        def out() -> Iterator[pa.RecordBatch]:
+            words, counts = list(seen.keys()), list(seen.values())
+            for i in range(0, len(words), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 20_000], pa.binary()), pa.array(counts[i : i + 20_000], pa.int64())], schema=schema)
 
-class Head(dict):
-    """The number of each word with a known count; of any other word their number, plus its class and front."""
+        for batch in batches:
+            for part in slices(batch, ROWS, SLICE):
+                coded = split(part.column(0))[0].dictionary_encode()
+                for w, c in zip(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.bincount(coded.indices.to_numpy()).tolist(), strict=True):
+                    seen[w] = seen.get(w, 0) + c
+                if len(seen) > held:
+                    yield from out()
+                    seen.clear()
+        yield from out()
+        seen.clear()
+        release()
 
-    def __missing__(self, word: bytes) -> int:
-        return len(self) + other_class(word) * FRONTS + zlib.crc32(word[:3]) % FRONTS
+    return texts.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def other_class(word: bytes) -> int:
+    """The class, of OTHERS, of a word that the model does not know."""
+    return zlib.crc32(word[-3:]) % OTHERS
 
 
 class Lookup:
-    """What learning and scoring need of the counts. Numbers are those of Head; arrays end with what they hold for numbers beyond its words."""
+    """What learning and scoring need of the counts. The number of a word with a known count is its place among them; of any other word their number, plus its class and front."""
 
     def __init__(self, words: list[bytes], counts: list[int], n: int, v: int, other_n: dict[int, int], other_v: dict[int, int], known: int = WORDS) -> None:
         self.n, self.v, self.words = n, v, words
@@ -93,11 +124,16 @@ class Lookup:
         self.class_share = np.concatenate([total, mass]) / (total.sum() + mass.sum())
         self.word_share = smooth / np.repeat(total, MEMBERS)[:k] if k else smooth
 
-    def head(self) -> Head:
-        return Head((w, i) for i, w in enumerate(self.words))
+    def numbers(self, tokens: pa.Array, words: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+        """The numbers of tokens, and those of them that have no known count; words are self.words in Arrow."""
+        at = pc.index_in(tokens, value_set=words)
+        far = tokens.filter(at.is_null()).to_numpy(zero_copy_only=False).tolist()
+        out = at.fill_null(-1).to_numpy().copy()
+        out[out < 0] = [len(self.words) + other_class(w) * FRONTS + zlib.crc32(w[:3]) % FRONTS for w in far]
+        return out, far
 
     def split(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of Head's numbers the class, and the id as context."""
+        """Of numbers the class, and the id as context."""
         k, h = self.known, len(self.words)
         far = number - h
         cls = np.where(number < k, number // MEMBERS, self.classes + np.maximum(far, 0) // FRONTS)
@@ -111,6 +147,14 @@ class Lookup:
         """The context's id before a text; ids go up to it."""
         return self.known + FRONTS
 
+    def padded(self, ctx: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Context ids of texts, one after the other, with WIDTH times begin before each, and where each position has gone."""
+        where = np.repeat(np.arange(1, len(starts) + 1, dtype=np.int32) * WIDTH, np.diff(np.append(starts, len(ctx))))
+        where += np.arange(len(ctx), dtype=np.int32)
+        ids = np.full(len(ctx) + WIDTH * len(starts), self.begin, np.int32)
+        ids[where] = ctx
+        return ids, where
+
 
 def lookup(counts: DataFrame, known: int = WORDS) -> Lookup:
     """From the table of counts; of single words only the HEAD most frequent come here."""
@@ -144,11 +188,38 @@ def fresh(at: Lookup, seed: int = 1) -> dict[str, np.ndarray]:
 
 
 def spread(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of the rows of each id, and the ids."""
-    order = np.argsort(ids)
-    ids = ids.take(order)
+    """The sums of the rows of each id, and the ids, those with most rows first. A row at a time is added for all ids at once; what the few ids with more than FEW rows have
+    beyond is summed by segments, which cost a call for each id and column."""
+    order = np.sort(ids.astype(np.int64) << 32 | np.arange(len(ids)))  # faster than argsort
+    ids, order = order >> 32, order & 0xFFFFFFFF
     starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    return ids.take(starts), np.add.reduceat(rows.take(order, axis=0), starts, axis=0)
+    length = np.diff(np.append(starts, len(ids)))
+    by = np.argsort(np.maximum(-length, -FEW - 1).astype(np.int8), kind="stable")
+    starts, length = starts.take(by), length.take(by)
+    sums = rows.take(order.take(starts), axis=0)
+    have = len(starts) - np.cumsum(np.bincount(np.minimum(length, FEW + 1), minlength=FEW + 2))  # how many ids have more than 0, 1, ... rows
+    for r in range(1, FEW):
+        sums[: have[r]] += rows.take(order.take(starts[: have[r]] + r), axis=0)
+    if many := have[FEW]:
+        more = length[:many] - FEW
+        first = np.cumsum(more) - more
+        rest = np.arange(int(more.sum())) + np.repeat(starts[:many] + FEW - first, more)
+        sums[:many] += np.add.reduceat(rows.take(order.take(rest), axis=0), first, axis=0)
+    return ids.take(starts), sums
+
+
+def sigma(z: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(z)), in z's place."""
+    np.exp(np.minimum(z, np.float32(30), out=z), out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
+
+def less(vectors: np.ndarray, log: np.ndarray) -> np.ndarray:
+    """What gives log less the product of the vectors, whose last is for the bias."""
+    out = -vectors
+    out[..., -1] += log
+    return out
 
 
 class Learner:
@@ -167,23 +238,24 @@ class Learner:
         ids, grads = spread(ids, grads)
         squares = self.squares[name].take(ids) + np.einsum("ij,ij->i", grads, grads) / np.float32(grads.shape[1])
         self.squares[name][ids] = squares
-        self.p[name][ids] = self.p[name].take(ids, axis=0) - grads * (np.float32(rate) / np.sqrt(squares))[:, None]
+        grads *= (np.float32(rate) / np.sqrt(squares))[:, None]
+        self.p[name][ids] = np.subtract(self.p[name].take(ids, axis=0), grads, out=grads)
         self.met[name][ids] += 1
 
     def step(self, context: np.ndarray, cls: np.ndarray, word: np.ndarray, rate: float) -> None:
         """One step on examples: context (a row of ids for each), class, and word (-1 if it is not known)."""
         p, at, rng = self.p, self.at, self.rng
         order = np.argsort(cls.astype(np.int16), kind="stable")  # by class, known words before all others
-        context, cls, word = context.take(order, axis=0).T.copy(), cls.take(order), word.take(order)
+        context, cls, word = context.take(order, axis=0).reshape(-1), cls.take(order), word.take(order)
         first = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
-        own = [p["context"].take(ids, axis=0) for ids in context]
+        places = p["place"].reshape(WIDTH * VECTOR, VECTOR)
+        own = p["context"].take(context, axis=0).reshape(len(cls), WIDTH * VECTOR)
         q = np.ones((len(cls), VECTOR + 1), np.float32)  # the last is for the bias
-        q[:, :-1] = sum(v @ m for v, m in zip(own, p["place"], strict=True))
-        sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        np.matmul(own, places, out=q[:, :-1])
         false = np.minimum(np.searchsorted(self.class_ends, rng.random(CLASS_NOISE) * self.class_ends[-1], "right"), len(self.class_ends) - 1)
-        c, f = p["class"].take(cls, axis=0), p["class"][false]
-        g1 = (sigma(np.einsum("ij,ij->i", q, c) - self.class_log.take(cls)) - 1)[:, None]
-        g0 = sigma(q @ f.T - self.class_log[false])
+        c, f = p["class"].take(cls, axis=0), p["class"].take(false, axis=0)
+        g1 = (sigma(self.class_log.take(cls) - np.einsum("ij,ij->i", q, c)) - 1)[:, None]
+        g0 = sigma(q @ less(f, self.class_log.take(false)).T)
         gq = g1 * c + g0 @ f
         class_grads = np.concatenate([np.add.reduceat(g1 * q, first), g0.T @ q])
         m = int(np.searchsorted(cls, at.classes))
@@ -196,19 +268,19 @@ class Learner:
             from_, to = np.where(low > 0, self.word_ends[np.maximum(low - 1, 0)], 0.0), self.word_ends[high - 1]
             noise = np.searchsorted(self.word_ends, from_[:, None] + rng.random((len(starts), WORD_NOISE)) * (to - from_)[:, None], "right")
             noise = np.clip(noise, low[:, None], high[:, None] - 1)
-            t, n = p["word"].take(w, axis=0), p["word"][noise]
+            t, n = p["word"].take(w, axis=0), p["word"].take(noise, axis=0)
             slots = np.zeros((len(starts), SHARED, VECTOR + 1), np.float32)  # those who share their noise, with empty places
             slots.reshape(-1, VECTOR + 1)[slot] = v
-            h1 = (sigma(np.einsum("ij,ij->i", v, t) - self.word_log.take(w)) - 1)[:, None]
-            h0 = sigma(slots @ n.transpose(0, 2, 1) - self.word_log[noise][:, None])
+            h1 = (sigma(self.word_log.take(w) - np.einsum("ij,ij->i", v, t)) - 1)[:, None]
+            h0 = sigma(slots @ less(n, self.word_log.take(noise)).transpose(0, 2, 1))
             gq[:m] += h1 * t + (h0 @ n).reshape(-1, VECTOR + 1).take(slot, axis=0)
             false_grads = h0.transpose(0, 2, 1) @ slots  # empty places are zero
             self.move("word", np.concatenate([w, noise.reshape(-1)]), np.concatenate([h1 * v, false_grads.reshape(-1, VECTOR + 1)]), rate)
         self.move("class", np.concatenate([cls[first], false]), class_grads, rate)
         gq = np.ascontiguousarray(gq[:, :-1])
-        back = np.concatenate([gq @ m.T for m in p["place"]])
-        grad = np.stack([v.T @ gq for v in own])
-        self.move("context", context.reshape(-1), back, rate)
+        back = (gq @ places.T).reshape(-1, VECTOR)
+        grad = (own.T @ gq).reshape(p["place"].shape)
+        self.move("context", context, back, rate)
         self.squares["place"] += grad * grad
         p["place"] -= rate * 0.2 * grad / np.sqrt(self.squares["place"])
         self.steps += 1
@@ -218,17 +290,16 @@ class Learner:
         order, each once before any comes again; they come again only if there are too few for `least` steps."""
         at, n = self.at, len(numbers)
         cls, ctx = at.split(numbers)
-        cls, ctx = cls.astype(np.int32), ctx.astype(np.int32)
+        cls = cls.astype(np.int32)
         word = np.where(numbers < at.known, numbers, -1).astype(np.int32)
-        place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-        place = np.minimum(place, WIDTH).astype(np.int8)
+        ids, where = at.padded(ctx, starts)
         size = min(MOST_EXAMPLES, max(EXAMPLES, n // (stride * max(least, 1))))
         steps = max(least, -(-n // (size * stride)))
-        order, back = self.rng.permutation(n), np.arange(1, WIDTH + 1)
+        order, back = self.rng.permutation(np.arange(n, dtype=np.int32)), np.arange(1, WIDTH + 1)
+        del ctx
         for s in range(steps):
             i = order.take(np.arange(s * size, (s + 1) * size), mode="wrap")
-            context = np.where(back <= place[i][:, None], ctx[np.maximum(i[:, None] - back, 0)], np.int32(at.begin))
-            self.step(context, cls[i], word[i], RATE * (1 - 0.8 * s / steps))
+            self.step(ids.take(where.take(i)[:, None] - back), cls.take(i), word.take(i), RATE * (1 - 0.8 * s / steps))
 
     def parts(self) -> Iterator[tuple[str, int, bytes, bytes, bytes]]:
         """What was learned, in blocks: name, block, ids, weights, rows."""
@@ -245,40 +316,36 @@ PART = "name string, block int, ids binary, weights binary, rows binary"
 PART_SCHEMA = pa.schema([("name", pa.string()), ("block", pa.int32()), ("ids", pa.binary()), ("weights", pa.binary()), ("rows", pa.binary())])
 
 
-def numbered(texts: list[str], head: Head) -> tuple[np.ndarray, np.ndarray]:
-    """Head's numbers of all tokens of texts, and where each text begins."""
-    words = [tokens_and_end(t) for t in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    return np.array([head[w] for ws in words for w in ws], np.int64), np.cumsum(lengths) - lengths
-
-
 def learn(texts: DataFrame, shared, stride: int = STRIDE, least: int = LEAST_STEPS) -> dict[str, np.ndarray]:
     """The model, learned in all tasks from their texts and averaged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
-        head, learner, held, size = at.head(), Learner(at), [], 0
+        words, learner, held, size = pa.array(at.words, pa.binary()), Learner(at), [], 0
 
         def take() -> None:
-            every, starts = [n for n, _ in held], []
-            done = 0
+            numbers = np.concatenate([n for n, _ in held])
+            starts, done = [], 0
             for n, s in held:
                 starts.append(s + done)
                 done += len(n)
-            learner.learn(np.concatenate(every), np.concatenate(starts), stride, max(0, least - learner.steps))
+            held.clear()
+            pa.default_memory_pool().release_unused()
+            learner.learn(numbers, np.concatenate(starts), stride, max(0, least - learner.steps))
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                held.append(numbered(batch.column(0).slice(lo, 256).to_pylist(), head))
+            for part in slices(batch, ROWS, SLICE):
+                found, starts = split(part.column(0))
+                held.append((at.numbers(found, words)[0], starts))
                 size += len(held[-1][0])
                 if size >= GATHERED:
                     take()
-                    held, size = [], 0
+                    size = 0
         if size:
             take()
         for name, block, *rest in learner.parts():
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((name, block, *rest), PART_SCHEMA, strict=True)], schema=PART_SCHEMA)
-        del head, learner, held
+        del words, learner, held
         release()
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,53 +379,56 @@ class Scorer:
 
     def __init__(self, at: Lookup, model: dict[str, np.ndarray]) -> None:
         self.at = at
-        self.places = [np.ascontiguousarray(model["context"] @ m) for m in model["place"]]
-        self.classes = np.ascontiguousarray(model["class"].T)
-        self.members = [np.ascontiguousarray(model["word"][k * MEMBERS : (k + 1) * MEMBERS].T) for k in range(at.classes)]
+        self.places = [model["context"] @ m for m in model["place"]]
         longest = lambda v: float(np.sqrt((v * v).sum(axis=1)).max(initial=0))
         most = sum(longest(v) for v in self.places) * max(longest(model["class"][:, :-1]), longest(model["word"][:, :-1]))
         #: Whether no logit can be so large, or all so small, that exponentials in float32 go wrong.
         self.safe = most + max(float(np.abs(model[n][:, -1]).max(initial=0)) for n in ("class", "word")) < 75
+        #: From here on logs are those to base 2, whose powers numpy has at hand. Vectors as columns, their biases, and these as factors.
+        self.places = [v * np.float32(1 / math.log(2)) for v in self.places]
+        side = lambda v: (np.ascontiguousarray(v[:, :-1].T), v[:, -1] / np.float32(math.log(2)), np.exp(v[:, -1]))
+        self.classes = side(model["class"])
+        self.members = [side(model["word"][k * MEMBERS : (k + 1) * MEMBERS]) for k in range(at.classes)]
 
     def log10(self, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
         at = self.at
         cls, ctx = at.split(numbers)
         out = np.zeros(len(numbers))
         rest = np.flatnonzero((numbers >= at.known) & (numbers < len(at.words)))
-        out[rest] = at.rest_within[numbers[rest] - at.known] * math.log(10)
-        q = np.ones((len(numbers), VECTOR + 1), np.float32)  # the last is for the bias
-        q[:, :-1] = 0
-        place = np.arange(len(numbers)) - np.repeat(starts, np.diff(np.append(starts, len(numbers))))
-        for j, vectors in enumerate(self.places, 1):
-            before = np.full(len(numbers), at.begin, ctx.dtype)
-            before[j:] = np.where(place[j:] >= j, ctx[:-j] if j < len(ctx) else ctx[:0], at.begin)
-            q[:, :-1] += vectors[before]
-        self.add(out, q, np.arange(len(q)), self.classes, cls)
+        out[rest] = at.rest_within[numbers[rest] - at.known] * math.log2(10)
+        ids, where = at.padded(ctx, starts)
+        q = self.places[0].take(ids.take(where - 1), axis=0)
+        for j, vectors in enumerate(self.places[1:], 2):
+            q += vectors.take(ids.take(where - j), axis=0)
+        out += self.chosen(q, self.classes, cls)
         order = np.argsort(cls.astype(np.int16), kind="stable")  # by radix
         order = order[: np.searchsorted(cls[order], at.classes)]
         order = order[numbers[order] < at.known]
         edges = np.searchsorted(cls[order], np.arange(at.classes + 1))
-        for k in range(at.classes):
-            some = order[edges[k] : edges[k + 1]]
-            if len(some):
-                self.add(out, q, some, self.members[k], numbers[some] - k * MEMBERS)
-        return out / math.log(10)
-
-    def add(self, out: np.ndarray, q: np.ndarray, rows: np.ndarray, vectors: np.ndarray, chosen: np.ndarray) -> None:
-        """Adds to out, at rows, the log of the chance of the chosen of the vectors (columns; the last row is their bias), a few hundred rows at a time."""
-        ones = np.ones(vectors.shape[1], np.float32)
-        for lo in range(0, len(rows), 512):
-            part = rows[lo : lo + 512]
-            z = q[part] @ vectors
-            own = z[np.arange(len(part)), chosen[lo : lo + 512]].astype(np.float64)
+        q, member = q.take(order, axis=0), numbers[order] % MEMBERS
+        logs = np.zeros(len(order))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            lo, hi = edges[k], edges[k + 1]
+            logs[lo:hi] = self.chosen(q[lo:hi], self.members[k], member[lo:hi])
+        out[order] += logs
+        return out / math.log2(10)
+
+    def chosen(self, q: np.ndarray, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], chosen: np.ndarray) -> np.ndarray:
+        """For each row of q the log2 of the chance of the chosen of the vectors, a few hundred rows at a time."""
+        columns, bias, factors = vectors
+        own, total = np.empty(len(q), np.float32), np.empty(len(q), np.float32)
+        for lo in range(0, len(q), CONTEXTS):
+            z = q[lo : lo + CONTEXTS] @ columns
+            own[lo : lo + CONTEXTS] = z[np.arange(len(z)), chosen[lo : lo + CONTEXTS]]
             if self.safe:
-                np.exp(z, out=z)
-                out[part] += own - np.log(z @ ones)
+                np.matmul(np.exp2(z, out=z), factors, out=total[lo : lo + CONTEXTS])
             else:
+                z += bias
                 top = z.max(axis=1)
+                own[lo : lo + CONTEXTS] -= top
                 z -= top[:, None]
-                np.exp(z, out=z)
-                out[part] += own - top - np.log(z @ ones)
+                total[lo : lo + CONTEXTS] = np.exp2(z, out=z).sum(axis=1)
+        return own.astype(np.float64) + bias.take(chosen) - np.log2(total)
 
 
 PARTS = "word binary, class int, n_tokens bigint, n_known bigint, base double, score double"
@@ -372,15 +442,13 @@ def scored(docs: DataFrame, shared, model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
-        head, scorer = at.head(), Scorer(at, model.value)
+        words, scorer = pa.array(at.words, pa.binary()), Scorer(at, model.value)
         known, base = len(at.words), at.base
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                b = batch.slice(lo, 256)
+            for b in slices(batch, ROWS, SLICE):
                 row, ids = b.column("row").to_numpy(), b.column("id")
-                words = [tokens_and_end(t) for t in b.column("text").to_pylist()]
-                lengths = np.array([len(w) for w in words], np.int64)
-                numbers, starts = np.array([head[w] for ws in words for w in ws], np.int64), np.cumsum(lengths) - lengths
+                found, starts = split(b.column("text"))
+                numbers, others = at.numbers(found, words)
                 logs = np.zeros(len(numbers))
                 ends = np.append(starts, len(numbers))
                 first = 0
@@ -393,15 +461,14 @@ def scored(docs: DataFrame, shared, model) -> DataFrame:
                 far = np.flatnonzero(~near)
                 doc = np.searchsorted(starts, far, "right") - 1
                 none = np.zeros(len(far))
-                others = [words[d][i] for d, i in zip(doc.tolist(), (far - starts[doc]).tolist(), strict=True)]
                 classes = pa.concat_arrays([pa.nulls(len(row), pa.int32()), pa.array(((numbers[far] - known) // FRONTS).astype(np.int32))])
                 columns = [
                     np.concatenate([row, row[doc]]), pa.concat_arrays([ids, ids.take(pa.array(doc))]), [b" %d" % r for r in row.tolist()] + others, classes,
-                    np.concatenate([lengths, np.ones(len(far), np.int64)]), np.concatenate([np.add.reduceat(near.astype(np.int64), starts), none.astype(np.int64)]),
+                    np.concatenate([np.diff(ends), np.ones(len(far), np.int64)]), np.concatenate([np.add.reduceat(near.astype(np.int64), starts), none.astype(np.int64)]),
                     np.concatenate([np.add.reduceat(of_base, starts), none]), np.concatenate([np.add.reduceat(logs, starts), none]),
                 ]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-        del head, scorer
+        del words, scorer
         release()
 
     return docs.select("row", "id", "text").mapInArrow(run, names)
@@ -418,7 +485,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", out: int = 1
     given = docs.select(F.col(key).alias("id"), text_of(text).alias("text"))
     with tables(spark) as keep:
         learned = given.where(fold("id") != out)
-        counts = keep(counted(learned, tokens_and_end))
+        counts = keep(words_counted(learned))
         at = lookup(counts, words)
         shared = context.broadcast(at)
         model = context.broadcast(learn(learned, shared, stride, least))

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -382,6 +383,49 @@ def test_lm_learns_from_every_position_once():
     assert sorted(seen) == [(i, [i - j if i % 100 >= j else begin for j in range(1, lm.WIDTH + 1)]) for i in range(10_000)]
 
 
+def test_lm_splits_and_numbers_as_token_by_token():
+    """Arrow's tokens are those of tokens() and an end, where texts are empty, blank, or have blanks at their ends or other white space inside."""
+    texts = ["One two ONE", "", " \t\n\x0b\x0c\r ", " a  b\r\n", "Ünï\xa0x\u2003y\x1cz\x85 ÄB\0c", "\u0130I", "w" * 200, *(f" w{i} w{i % 7}" for i in range(50))]
+    found, starts = lm.split(pa.array(["left out", *texts])[1:])
+    assert found.to_pylist() == [w for t in texts for w in (*lm.tokens(t), lm.END_WORD)]
+    assert starts.tolist() == np.cumsum([0, *(len(lm.tokens(t)) + 1 for t in texts)])[:-1].tolist()
+    known = [lm.END_WORD, b"one", b"w3", b"a"]
+    numbers, others = lookup_of(known, [9, 8, 7, 6]).numbers(found, pa.array(known, pa.binary()))
+    other = lambda w: 4 + lm.other_class(w) * lm.FRONTS + zlib.crc32(w[:3]) % lm.FRONTS
+    assert numbers.tolist() == [known.index(w) if w in known else other(w) for w in found.to_pylist()]
+    assert others == [w for w in found.to_pylist() if w not in known]
+
+
+def test_lm_sums_rows_by_id():
+    rng = np.random.default_rng(3)
+    for ids in (rng.integers(0, 40, 5000), rng.zipf(1.3, 3000) % 500, np.arange(9), np.full(1000, 5), np.array([7])):
+        rows = rng.normal(size=(len(ids), lm.VECTOR + 1)).astype(np.float32)
+        want = np.zeros((ids.max() + 1, rows.shape[1]))
+        np.add.at(want, ids, rows)
+        met, sums = lm.spread(ids.astype(np.int32), rows)
+        assert sorted(met) == sorted(set(ids.tolist())) and np.allclose(sums, want[met], atol=1e-3)
+
+
+def test_lm_scores_as_by_plain_softmax():
+    """With logits of every size; those that float32 cannot raise take the other way."""
+    words = [*(f"w{i}".encode() for i in range(700)), lm.END_WORD]
+    at, rng = lookup_of(words, list(range(1000, 299, -1)), known=600), np.random.default_rng(5)
+    numbers, starts = rng.integers(0, 701, 900), np.arange(0, 900, 90)
+    cls, ctx = at.split(numbers)
+    for size, safe in ((0.3, True), (2, False)):
+        model = {n: (v + rng.normal(0, size, v.shape)).astype(np.float32) for n, v in lm.fresh(at).items()}
+        scorer, want = lm.Scorer(at, model), []
+        log = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
+        for i in range(900):
+            before = [ctx[i - j] if i % 90 >= j else at.begin for j in range(1, lm.WIDTH + 1)]
+            q = np.append(sum(model["context"][c].astype(float) @ m for c, m in zip(before, model["place"], strict=True)), 1)
+            k, x = cls[i], log(model["class"].astype(float) @ q)[cls[i]]
+            lo = k * lm.MEMBERS
+            within = log(model["word"][lo : lo + lm.MEMBERS].astype(float) @ q)[numbers[i] - lo] if numbers[i] < at.known else at.rest_within[numbers[i] - at.known] * math.log(10)
+            want.append((x + within) / math.log(10))
+        assert scorer.safe == safe and np.allclose(scorer.log10(numbers, starts), want, rtol=1e-4, atol=1e-3)
+
+
 def test_lm_without_learning_is_the_smoothed_unigram():
     words = [*(f"w{i}".encode() for i in range(900)), lm.END_WORD]
     at = lookup_of(words, list(range(1000, 99, -1)), known=300)
